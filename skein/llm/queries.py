@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skein.llm.cooccur import daily_baskets, together
 from skein.llm.mixing import Mixture
+from skein.llm.set_join import item_classes, similar_items
 from skein.llm.tokenizer import decode_corpus, encode_corpus
 from skein.llm.top_n import standing_scores, top_n
 from skein.plans.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_items(table(spark, d, "items"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return item_classes(table(spark, d, "items"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return together(daily_baskets(table(spark, d, "feedback"))).select("item_a", "item_b")
+
+
+def p5_lift(spark: SparkSession, d: str) -> DataFrame:
+    return together(daily_baskets(table(spark, d, "feedback"))).withColumn("lift", F.round("lift", 4))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(standing_scores(table(spark, d, "scores"))).select("collection", "subset", "id")
 
@@ -35,7 +54,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_lift, p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares)}
 
 _TOP = """
 WITH rows AS (SELECT collection, subset, trim(id) AS id, score, coalesce(is_hidden, false) AS hidden, timestamp FROM scores WHERE trim(id) <> ''),
@@ -44,7 +63,33 @@ best AS (SELECT collection, subset, id, score, row_number() OVER (PARTITION BY c
          FROM last WHERE age = 1 AND NOT hidden AND score IS NOT NULL AND NOT isnan(score))
 """
 
+_SETS = """
+WITH t AS (SELECT DISTINCT trim(item_id) AS i, trim(lower(trim(v))) AS v
+           FROM (SELECT item_id, unnest(list_concat(coalesce(categories, []), coalesce(labels.tags, []))) AS v FROM items) WHERE trim(item_id) <> '' AND trim(v) <> ''),
+s AS (SELECT i, count(*) AS n FROM t GROUP BY i HAVING count(*) >= 4),
+c AS (SELECT a.i AS x, b.i AS y, count(*) AS m FROM t a JOIN t b ON a.v = b.v AND a.i < b.i GROUP BY 1, 2),
+p AS (SELECT x, y FROM c JOIN s sx ON sx.i = x JOIN s sy ON sy.i = y WHERE 5 * m >= 3 * (sx.n + sy.n - m))
+"""
+
+_BASKETS = """
+WITH b AS (SELECT DISTINCT trim(user_id) AS u, CAST(timestamp AS DATE) AS d, trim(item_id) AS i FROM feedback
+           WHERE trim(user_id) <> '' AND trim(item_id) <> '' AND timestamp IS NOT NULL),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT u, d FROM b)),
+m AS (SELECT i, count(*) AS c FROM b GROUP BY i),
+p AS (SELECT x.i AS item_a, y.i AS item_b, count(*) AS n_ab FROM b x JOIN b y ON x.u = y.u AND x.d = y.d AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 5),
+r AS (SELECT item_a, item_b, n_ab, ma.c AS n_a, mb.c AS n_b, n.n AS n_baskets, round(n_ab / (ma.c / n.n) / mb.c, 4) AS lift
+      FROM p JOIN m ma ON ma.i = item_a JOIN m mb ON mb.i = item_b, n WHERE n_ab * n.n >= 5 * ma.c * mb.c)
+"""
+
 SQL = {
+    "p4_found": _SETS + "SELECT x AS item_a, y AS item_b FROM p",
+    "p4_classes": _SETS + """,
+k AS (SELECT t.i, list_sort(list(v)) AS terms FROM t JOIN s USING (i) GROUP BY t.i),
+g AS (SELECT terms, min(i) AS class_id, count(*) AS class_size FROM k GROUP BY terms),
+l AS (SELECT i, count(*) AS links FROM (SELECT x AS i FROM p UNION ALL SELECT y FROM p) GROUP BY i)
+SELECT k.i AS item_id, class_id, class_size, coalesce(links, 0) AS links FROM k JOIN g USING (terms) LEFT JOIN l ON l.i = k.i""",
+    "p5_found": _BASKETS + "SELECT item_a, item_b FROM r",
+    "p5_lift": _BASKETS + "SELECT * FROM r",
     "p7_found": _TOP + "SELECT collection, subset, id FROM best WHERE rank <= 10",
     "p7_ranked": _TOP + "SELECT collection, subset, id, score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 10",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
