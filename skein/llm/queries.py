@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.cooccur import daily_baskets, together
 from skein.llm.mixing import Mixture
 from skein.llm.set_join import item_classes, similar_items
+from skein.llm.subjects import document_subjects
 from skein.llm.tokenizer import decode_corpus, encode_corpus
 from skein.llm.top_n import standing_scores, top_n
+from skein.llm.vectors import WIDE, alike_pairs, nearest, spaces
 from skein.plans.tables import table
 
 
@@ -29,6 +33,21 @@ def p5_lift(spark: SparkSession, d: str) -> DataFrame:
     return together(daily_baskets(table(spark, d, "feedback"))).withColumn("lift", F.round("lift", 4))
 
 
+def _pairs(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [alike_pairs(name, v) for name, v in spaces(table(spark, d, "item_embeddings"), table(spark, d, "latent_factors")).items()]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, _pairs(spark, d))
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest, however near, of the item vectors whose number is divisible by 50, among all item vectors."""
+    vectors = spaces(table(spark, d, "item_embeddings"), table(spark, d, "latent_factors"))["vector"]
+    asked = vectors.where("try_cast(regexp_extract(id, '[0-9]+$', 0) AS BIGINT) % 50 = 0").select("id")
+    return nearest(vectors, 5, lists=WIDE, queries=asked).withColumn("cosine", F.round("cosine", 6))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(standing_scores(table(spark, d, "scores"))).select("collection", "subset", "id")
 
@@ -54,7 +73,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_lift, p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(*[table(spark, d, t) for t in ("documents", "subjects", "doc_subjects")])
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_lift, p6_found, p6_neighbours, p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found)}
 
 _TOP = """
 WITH rows AS (SELECT collection, subset, trim(id) AS id, score, coalesce(is_hidden, false) AS hidden, timestamp FROM scores WHERE trim(id) <> ''),
