@@ -15,6 +15,10 @@ def _leaves(kind: T.DataType, column: Column, prefix: str):
         yield prefix, kind, column
 
 
+def _prefixed(column: Column, prefix: str) -> Column:
+    return F.transform(column, lambda v: F.concat(F.lit(prefix), v))
+
+
 def flatten(df: DataFrame, id: str, labels: str) -> DataFrame:
     """``id, label``: one row per string leaf or string list element, as ``path:value`` (PR12). Nulls give none; repeats stay."""
     parts = []
@@ -22,7 +26,7 @@ def flatten(df: DataFrame, id: str, labels: str) -> DataFrame:
         if isinstance(kind, T.StringType):
             parts.append(F.array(F.concat(F.lit(f"{path}:"), col)))
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            parts.append(F.transform(col, lambda v, p=path: F.concat(F.lit(f"{p}:"), v)))
+            parts.append(_prefixed(col, f"{path}:"))
     none = F.array().cast("array<string>")
     joined = F.concat(*[F.coalesce(p, none) for p in parts]) if parts else none
     return df.select(F.col(f"`{id}`").alias("id"), F.explode(joined).alias("label")).where("label is not null")
@@ -38,7 +42,7 @@ def weighted(df: DataFrame, id: str, labels: str) -> DataFrame:
         elif isinstance(kind, T.NumericType):
             parts.append(F.when(col.isNotNull(), F.array(pair(F.lit(f"{path}."), col))))
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            parts.append(F.transform(F.filter(col, lambda v: v.isNotNull()), lambda v, p=path: pair(F.concat(F.lit(f"{p}."), v), F.lit(1.0))))
+            parts.append(F.transform(_prefixed(F.filter(col, lambda v: v.isNotNull()), f"{path}."), lambda v: pair(v, F.lit(1.0))))
     none = F.array().cast("array<struct<name:string,weight:double>>")
     joined = F.concat(*[F.coalesce(p, none) for p in parts]) if parts else none
     return df.select(F.col(f"`{id}`").alias("id"), F.explode(joined).alias("x")).select("id", "x.name", "x.weight")

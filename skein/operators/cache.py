@@ -13,9 +13,9 @@ SCORE_KEY = ["collection", "subset", "id"]
 
 
 def latest_scores(rows: DataFrame) -> DataFrame:
-    """Of each (collection, subset, id) the row of the latest time; of one time the greatest score, then the hidden one."""
+    """Of each (collection, subset, id) the row of the latest time; of one time the greatest score, then the hidden one, then the greatest categories as text."""
     others = [c for c in rows.columns if c not in SCORE_KEY]
-    named = F.struct("timestamp", "score", F.coalesce("is_hidden", F.lit(False)).alias("hidden"))
+    named = F.struct("timestamp", "score", F.coalesce("is_hidden", F.lit(False)).alias("hidden"), F.concat_ws(",", "categories").alias("text"))
     return rows.groupBy(*SCORE_KEY).agg(F.max_by(F.struct(*others), named).alias("row")).select(*SCORE_KEY, *[F.col(f"row.{c}") for c in others])
 
 

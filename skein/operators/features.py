@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 LEAST_IDF = 1e-3
 
 
-def idf(tokens: DataFrame, total: DataFrame) -> DataFrame:
-    """``token, freq, idf`` with ``idf = max(ln(total / freq), 0.001)`` from ``token`` rows, repeats counted (AG4 to AG7). ``total`` has one row, ``total``."""
+def idf(tokens: DataFrame, total: int) -> DataFrame:
+    """``token, freq, idf`` with ``idf = max(ln(total / freq), 0.001)`` from ``token`` rows, repeats counted (AG4 to AG7)."""
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    return freq.crossJoin(F.broadcast(total)).select("token", "freq", F.greatest(F.log(F.col("total") / F.col("freq")), F.lit(LEAST_IDF)).alias("idf"))  # total is one number
-
-
-def total_of(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("total"))
+    return freq.select("token", "freq", F.greatest(F.log(F.lit(float(total)) / F.col("freq")), F.lit(LEAST_IDF)).alias("idf"))
 
 
 def dictionary(values: DataFrame, column: str) -> DataFrame:

@@ -83,36 +83,82 @@ def vector_neighbours(vectors: DataFrame, n: int, metric: str = "euclidean", que
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         q, x = group[group["asks"]], group[~group["asks"]].sort_values("id")
-        out = []
-        if len(q) and len(x):
-            base, ids = np.stack(x["vector"]).astype(np.float64), x["id"].to_numpy()
-            for start in range(0, len(q), 512):
-                some = q.iloc[start : start + 512]
-                v, own = np.stack(some["vector"]).astype(np.float64), some["id"].to_numpy()
-                prod = v @ base.T
-                if metric == "euclidean":
-                    far = np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + (base**2).sum(1) - 2 * prod))
-                elif metric == "cosine":
-                    norm = np.sqrt((v**2).sum(1))[:, None] * np.sqrt((base**2).sum(1))
-                    far = np.where(norm > 0, 1 - prod / np.where(norm > 0, norm, 1), 1)
-                else:
-                    far = -prod
-                far = np.round(far, 6)
-                bad = own[:, None] == ids[None, :] if same else np.zeros(far.shape, bool)
-                if prune_zero and metric != "dot":
-                    bad = bad | (far <= 0)
-                far = np.where(bad, np.inf, far)
-                top = np.argsort(far, axis=1, kind="stable")[:, :n]
-                d = np.take_along_axis(far, top, axis=1)
-                r, c = np.nonzero(np.isfinite(d))
-                out.append(pd.DataFrame({"id": own[r], "neighbour": ids[top[r, c]], "distance": d[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": object, "neighbour": object, "distance": float})
+        if not len(q) or not len(x):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": object, "neighbour": object, "distance": float})
+        return _nearest_in_block(q, x, n, metric, same, prune_zero)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, distance double")
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def hashed_neighbours(vectors: DataFrame, n: int, tables: int = 12, bucket_rows: int = 500, seed: int = 0, metric: str = "cosine") -> DataFrame:
+    """``id, neighbour, distance, rank`` by random hyperplanes: approximate, for collections too large for all blocks (AN1).
+
+    In each of ``tables`` hash tables vectors of one sign pattern meet; patterns are as long as makes buckets of about
+    ``bucket_rows``. A larger bucket is searched in slices. Distances are exact and rounded, the set of neighbours isn't;
+    more tables find more. Vectors have one length.
+    """
+    count = vectors.count()
+    if not count:
+        return vectors.sparkSession.createDataFrame([], "id string, neighbour string, distance double, rank int")
+    bits = max(1, min(30, round(np.log2(max(2, count / bucket_rows)))))
+    dims = vectors.select(F.size("vector").alias("d")).first()["d"]
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch["vector"]).astype(np.float64)
+            codes = [((x @ p.T > 0) * (1 << np.arange(bits))).sum(axis=1) for p in planes]
+            yield pd.DataFrame({"id": batch["id"], "vector": batch["vector"], "codes": list(np.stack(codes, axis=1).astype(np.int64))})
+
+    placed = vectors.select("id", "vector").mapInPandas(sign, "id string, vector array<float>, codes array<bigint>").select("id", "vector", F.posexplode("codes").alias("t", "code"))
+    sizes = placed.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * bucket_rows)).cast("int").alias("slices"))
+    placed = placed.join(sizes, ["t", "code"])
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    asks = placed.select("t", "code", "id", "vector", own.alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    held = placed.select("t", "code", "id", "vector", every.alias("i"), own.alias("j"), F.lit(False).alias("asks"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        q, x = group[group["asks"]], group[~group["asks"]].sort_values("id")
+        if not len(q) or not len(x):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": object, "neighbour": object, "distance": float})
+        return _nearest_in_block(q, x, n, metric, True, True)
+
+    found = asks.unionByName(held).groupBy("t", "code", "i", "j").applyInPandas(meet, "id string, neighbour string, distance double").groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+    best = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
+def _nearest_in_block(q: pd.DataFrame, x: pd.DataFrame, n: int, metric: str, same: bool, prune_zero: bool) -> pd.DataFrame:
+    """The ``n`` nearest of ``x``, sorted by id, for each row of ``q``, by one matrix product for 512 rows."""
+    out = []
+    base, ids = np.stack(x["vector"]).astype(np.float64), x["id"].to_numpy()
+    square = (base**2).sum(1)
+    for start in range(0, len(q), 512):
+        some = q.iloc[start : start + 512]
+        v, own = np.stack(some["vector"]).astype(np.float64), some["id"].to_numpy()
+        prod = v @ base.T
+        if metric == "euclidean":
+            far = np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + square - 2 * prod))
+        elif metric == "cosine":
+            norm = np.sqrt((v**2).sum(1))[:, None] * np.sqrt(square)
+            far = np.where(norm > 0, 1 - prod / np.where(norm > 0, norm, 1), 1)
+        else:
+            far = -prod
+        far = np.round(far, 6)
+        bad = own[:, None] == ids[None, :] if same else np.zeros(far.shape, bool)
+        if prune_zero and metric != "dot":
+            bad = bad | (far <= 0)
+        far = np.where(bad, np.inf, far)
+        top = np.argsort(far, axis=1, kind="stable")[:, :n]
+        d = np.take_along_axis(far, top, axis=1)
+        r, c = np.nonzero(np.isfinite(d))
+        out.append(pd.DataFrame({"id": own[r], "neighbour": ids[top[r, c]], "distance": d[r, c]}))
+    return pd.concat(out)
+
+
 def prompt_neighbours(items: DataFrame, render, complete, embed, vectors: DataFrame, n: int) -> DataFrame:
     """``id, neighbour, distance, rank`` of a client's suggestions (RC7).
 

@@ -64,7 +64,7 @@ def _idf_sql(tokens: str, total: str) -> str:
 
 
 def _idf(tokens: DataFrame, owners: DataFrame) -> DataFrame:
-    return features.idf(tokens, features.total_of(owners)).withColumn("idf", F.round("idf", 6))
+    return features.idf(tokens, owners.count()).withColumn("idf", F.round("idf", 6))
 
 
 @query(_idf_sql("SELECT user_id AS token FROM p", "i"), "p")
@@ -174,7 +174,7 @@ def _hidden(s: S, d: D) -> DataFrame:
 
 def _tag_pairs(s: S, d: D) -> DataFrame:
     tokens = item_tags(s, d)
-    return similarity.token_pairs(tokens, features.idf(tokens, features.total_of(items(s, d))))
+    return similarity.token_pairs(tokens, features.idf(tokens, items(s, d).count()))
 
 
 def _user_tokens(s: S, d: D) -> DataFrame:
@@ -183,7 +183,7 @@ def _user_tokens(s: S, d: D) -> DataFrame:
 
 def _user_pairs(s: S, d: D) -> DataFrame:
     tokens = _user_tokens(s, d)
-    return similarity.token_pairs(tokens, features.idf(tokens, features.total_of(items(s, d))))
+    return similarity.token_pairs(tokens, features.idf(tokens, items(s, d).count()))
 
 
 @query(_neighbour_sql("SELECT item_id AS id, unnest(tags) AS token FROM i", "i", _SHOWN), "i")
@@ -205,7 +205,7 @@ def rc10_users_by_items(s: S, d: D) -> DataFrame:
 
 def _user_neighbours(s: S, d: D) -> DataFrame:
     tokens = liked(s, d).select(F.col("user_id").alias("id"), F.col("item_id").alias("token"))
-    return similarity.neighbours(similarity.token_pairs(tokens, features.idf(tokens, features.total_of(users(s, d)))), 10)
+    return similarity.neighbours(similarity.token_pairs(tokens, features.idf(tokens, users(s, d).count())), 10)
 
 
 _AUTO = f"""WITH tt AS (SELECT item_id AS id, unnest(tags) AS token FROM i), tu AS (SELECT item_id AS id, user_id AS token FROM p), n AS (SELECT count(*) AS n FROM i),
@@ -289,7 +289,7 @@ def qp2_latest_page(s: S, d: D) -> DataFrame:
     return recommend.latest_page(leaderboard.latest(items(s, d), 15), users(s, d), classified(s, d), 3, 5, 15)
 
 
-@query("""WITH last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, subset, id ORDER BY timestamp DESC NULLS LAST, score DESC NULLS LAST, coalesce(is_hidden, false) DESC) AS rn FROM scores) WHERE rn = 1),
+@query("""WITH last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, subset, id ORDER BY timestamp DESC NULLS LAST, score DESC NULLS LAST, coalesce(is_hidden, false) DESC, coalesce(array_to_string(categories, ','), '') DESC) AS rn FROM scores) WHERE rn = 1),
 x AS (SELECT subset AS user_id, id AS item_id, score, CAST(row_number() OVER (PARTITION BY subset ORDER BY score DESC, id) AS INTEGER) AS rank FROM last WHERE collection = 'recommend' AND NOT coalesce(is_hidden, false) AND score IS NOT NULL AND NOT isnan(score)
   AND subset IN (SELECT user_id FROM u) AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = subset AND c.item_id = id AND c.kind = 'read'))
 SELECT * FROM x WHERE rank > 2 AND rank <= 12""", "c")
@@ -326,10 +326,10 @@ g AS (SELECT DISTINCT user_id, item_id, 'like' AS feedback_type FROM h WHERE fee
   UNION SELECT DISTINCT user_id, item_id, '' FROM h WHERE feedback_type = 'like' OR feedback_type = 'star' AND value >= 3),
 x AS (SELECT r.day, o.feedback_type, r.user_id, count(*) AS reads, count(g.user_id) AS hits FROM r JOIN (SELECT DISTINCT user_id, feedback_type FROM g) o ON o.user_id = r.user_id
   LEFT JOIN g ON g.user_id = r.user_id AND g.item_id = r.item_id AND g.feedback_type = o.feedback_type GROUP BY 1, 2, 3)
-SELECT day, feedback_type, round(avg(hits / reads), 6) AS ratio FROM x GROUP BY 1, 2""", "m")
+SELECT CAST(day AS VARCHAR) AS day, feedback_type, round(avg(hits / reads), 6) AS ratio FROM x GROUP BY x.day, 2""", "m")
 def ag14_online_ratio(s: S, d: D) -> DataFrame:
     """Also ST2 as a batch and SE3."""
-    return evaluate.online_ratio(merged(s, d), ["view"], ["like", "star>=3"], AS_OF)
+    return evaluate.online_ratio(merged(s, d), ["view"], ["like", "star>=3"], AS_OF).withColumn("day", F.col("day").cast("string"))
 
 
 _VALUES = "(SELECT feedback_type AS key, value AS x FROM m)"
@@ -466,3 +466,64 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC
 def rc12_inner_product(s: S, d: D) -> DataFrame:
     """Also JN9."""
     return recommend.inner_product_candidates(factors(s, d, "user"), factors(s, d, "item"), 10, liked(s, d), items(s, d))
+
+
+@query("""WITH last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, subset, id ORDER BY timestamp DESC NULLS LAST, score DESC NULLS LAST, coalesce(is_hidden, false) DESC, coalesce(array_to_string(categories, ','), '') DESC) AS rn FROM scores) WHERE rn = 1),
+x AS (SELECT subset AS user_id, id AS item_id, score, CAST(row_number() OVER (PARTITION BY subset ORDER BY score DESC, id) AS INTEGER) AS rank FROM last WHERE collection = 'collaborative-filtering' AND NOT coalesce(is_hidden, false) AND score IS NOT NULL AND NOT isnan(score)
+  AND subset IN (SELECT user_id FROM u) AND list_contains(categories, 'home') AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = subset AND c.item_id = id AND c.kind = 'read'))
+SELECT * FROM x WHERE rank <= 10""", "c")
+def qp4_collaborative(s: S, d: D) -> DataFrame:
+    from skein.operators.cache import latest_scores
+
+    rows = latest_scores(table(s, d, "scores")).where("score is not null and not isnan(score)")
+    return recommend.search(rows, "collaborative-filtering", users(s, d), classified(s, d).where("kind = 'read'"), 0, 10, ["home"])
+
+
+@query()
+def an1_hashed_neighbours(s: S, d: D) -> DataFrame:
+    return similarity.hashed_neighbours(vectors(s, d), 5)
+
+
+def _top_factors(s: S, d: D, made: DataFrame) -> DataFrame:
+    side = lambda k: made.where(F.col("kind") == k).select("id", "vector")
+    return recommend.inner_product_candidates(side("user"), side("item"), 10, liked(s, d), items(s, d))
+
+
+@query()
+def md2_als_candidates(s: S, d: D) -> DataFrame:
+    from skein.models.factorization import als
+
+    return _top_factors(s, d, als(liked(s, d).select("user_id", "item_id"), 16, 5))
+
+
+@query()
+def md1_bpr_candidates(s: S, d: D) -> DataFrame:
+    from skein.models.factorization import bpr
+
+    return _top_factors(s, d, bpr(liked(s, d).select("user_id", "item_id"), 16, 2, 3))
+
+
+@query()
+def md8_click_scores(s: S, d: D) -> DataFrame:
+    """Also MD9, RC18, WN11 and PR13: a machine trained on four fifths of the samples scores the rest."""
+    from skein.functions import labels as L
+    from skein.models import machine
+
+    user_labels = L.weighted(table(s, d, "users").withColumn("user_id", F.trim("user_id")), "user_id", "labels").where("name not like 'balance%'")
+    item_labels = items(s, d).select(F.col("item_id").alias("id"), F.explode("categories").alias("name")).withColumn("weight", F.lit(1.0))
+    rows = machine.to_vectors(machine.hashed_features(I.samples(classified(s, d)), user_labels, item_labels, 1 << 12), 1 << 12)
+    split = evaluate.random_split(rows)
+    model = machine.train_fm(split.where("not is_test"), 4, 10)
+    return machine.scores(model, split.where("is_test")).select("user_id", "item_id", "target", F.round("score", 6).alias("score"))
+
+
+@query("SELECT feedback_type, user_id, item_id, value, timestamp, updated FROM m", "m")
+def st5_stream_merge(s: S, d: D) -> DataFrame:
+    """Also ST1: the feedback files as a stream, merged batch by batch."""
+    from skein.lineage import Scratch
+    from skein.streaming.feedback import MergedTable, maintain, read_table
+
+    root = Scratch(s, "stream").root
+    target = MergedTable(s, f"{root}/merged")
+    maintain(read_table(s, d, "feedback"), target, f"{root}/progress").awaitTermination()
+    return target.load().select("feedback_type", "user_id", "item_id", "value", "timestamp", "updated")

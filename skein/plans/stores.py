@@ -73,10 +73,10 @@ def sc7_item(s: S, d: D) -> DataFrame:
 
 
 @query("""SELECT item_id, timestamp FROM i WHERE item_id IN (SELECT trim(entity_id) FROM removals WHERE entity = 'item')
-  AND list_contains(categories, 'home') AND NOT is_hidden AND timestamp > TIMESTAMP '2013-06-01 00:00:00'""", "i")
+  AND NOT is_hidden AND timestamp > TIMESTAMP '2012-06-01 00:00:00'""", "i")
 def sc8_items_among(s: S, d: D) -> DataFrame:
     ids = table(s, d, "removals").where("entity = 'item'").select(clean_id("entity_id").alias("item_id"))
-    return scans.items_among(items(s, d), ids, ["home"], True, "2013-06-01 00:00:00").select("item_id", "timestamp")
+    return scans.items_among(items(s, d), ids, None, True, "2012-06-01 00:00:00").select("item_id", "timestamp")
 
 
 @query("SELECT item_id, timestamp FROM i WHERE NOT is_hidden AND list_contains(categories, 'home') AND timestamp > TIMESTAMP '2013-01-01 00:00:00' ORDER BY timestamp DESC, item_id LIMIT 40", "i")
@@ -184,7 +184,7 @@ def sk11_add_category(s: S, d: D) -> DataFrame:
     return ingest.add_category(rows, rows.agg(F.min("item_id")).first()[0], "picked")
 
 
-_LAST = """last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, subset, id ORDER BY timestamp DESC NULLS LAST, score DESC NULLS LAST, coalesce(is_hidden, false) DESC) AS rn FROM scores) WHERE rn = 1)"""
+_LAST = """last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, subset, id ORDER BY timestamp DESC NULLS LAST, score DESC NULLS LAST, coalesce(is_hidden, false) DESC, coalesce(array_to_string(categories, ','), '') DESC) AS rn FROM scores) WHERE rn = 1)"""
 _CK = "collection, subset, id, score, is_hidden, timestamp"
 
 
