@@ -53,7 +53,8 @@ def balanced_centroids(x: np.ndarray, wanted: int, seed: int = 5) -> np.ndarray:
         parts += [p[left], p[~left]]
     c = np.stack([p.mean(axis=0) for p in parts])
     for _ in range(2):
-        near = (x @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1)
+        half = (c**2).sum(axis=1) / 2
+        near = np.concatenate([(x[i : i + 1000] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 1000)])
         for i in range(len(c)):
             own = x[near == i]
             if len(own):
