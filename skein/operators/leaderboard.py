@@ -21,9 +21,10 @@ def scored_items(items: DataFrame, feedback: DataFrame, as_of: str, score: str,
     first = [F.any_value(c).alias(c) for c in others]
     value = _aggregate(compiler, score, joined, items.columns)
     test = _aggregate(compiler, filter, joined, items.columns) if filter else F.lit(True)
-    rows = joined.groupBy("item_id").agg(*first, value.cast("double").alias("score"), test.alias("_keep")).where("_keep and score is not null and not isnan(score)").drop("_keep")
-    checked(rows, F.col("score"), "number")
-    return rows
+    made = joined.groupBy("item_id").agg(*first, value.alias("score"), test.alias("_keep"))
+    checked(made, F.col("_keep"), "boolean")
+    scored = made.withColumn("score", checked(made, F.col("score"), "number").cast("double"))
+    return scored.where("_keep and score is not null and not isnan(score)").drop("_keep")
 
 
 def _aggregate(compiler: Compiler, text: str, joined: DataFrame, own: list[str]):

@@ -38,6 +38,60 @@ def token_pairs(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.select("a", "b", idf_distance(*[F.col(c) for c in ("common_idf", "common", "idf_a", "idf_b", "size_a", "size_b")]).alias("distance"))
 
 
+def token_neighbours(tokens: DataFrame, weights: DataFrame, n: int, hidden: DataFrame | None = None, block_ids: int = 2000) -> DataFrame:
+    """What ``neighbours(token_pairs(tokens, weights), n, hidden)`` gives, without a table of pairs (RC4, RC5, RC8 to RC11).
+
+    Ids are hashed into blocks of about ``block_ids``. Two blocks of token sets meet as a product of sparse matrices in
+    one task, and only the ``n`` best of a block go on: terms that very many ids have cost arithmetic there, not
+    shuffled pairs. The token set of one id must fit a task.
+    """
+    blocks = max(1, -(-tokens.select("id").distinct().count() // block_ids))
+    held = tokens.join(weights.select("token", "idf"), "token").select("id", F.xxhash64("token").alias("token"), "idf", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = held.select("id", "token", "idf", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    shown = held if hidden is None else held.join(hidden.select("id").distinct(), "id", "left_anti")
+    right = shown.select("id", "token", "idf", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for part in (group[group["asks"]], group[~group["asks"]]):
+            ids, code = np.unique(part["id"].to_numpy(), return_inverse=True)
+            idf = part["idf"].to_numpy()
+            sides.append((ids, code, part["token"].to_numpy(), idf, np.bincount(code, minlength=len(ids)), np.bincount(code, idf, len(ids))))
+        (a_ids, a, a_tok, a_idf, a_size, a_sum), (b_ids, b, b_tok, _, b_size, b_sum) = sides
+        out = []
+        if len(a_ids) and len(b_ids):
+            order = np.argsort(b_tok, kind="stable")
+            postings, keys = b[order], b_tok[order]
+            first, last = np.searchsorted(keys, a_tok), np.searchsorted(keys, a_tok, side="right")
+            by_id = np.argsort(a, kind="stable")
+            edges = np.searchsorted(a[by_id], np.arange(0, len(a_ids) + 256, 256))
+            for k in range(len(edges) - 1):
+                rows = by_id[edges[k] : edges[k + 1]]
+                if not len(rows):
+                    continue
+                low, high = 256 * k, min(256 * k + 256, len(a_ids))
+                lengths = last[rows] - first[rows]
+                at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[rows], lengths)
+                cell = np.repeat(a[rows] - low, lengths) * len(b_ids) + postings[at]
+                shape = (high - low, len(b_ids))
+                common = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
+                weight = np.bincount(cell, np.repeat(a_idf[rows], lengths), shape[0] * shape[1]).reshape(shape)
+                far = 1 - weight * common / (np.sqrt(a_sum[low:high])[:, None] * np.sqrt(b_sum)[None, :] * (common + SHRINK))
+                equal = (common == a_size[low:high, None]) & (common == b_size[None, :])
+                score = np.where((common > 0) & ~equal & (far > 0), np.round(1 / (1 + far), 6), -1.0)
+                score[a_ids[low:high, None] == b_ids[None, :]] = -1.0
+                top = np.argsort(-score, axis=1, kind="stable")[:, :n]
+                best = np.take_along_axis(score, top, axis=1)
+                r, c = np.nonzero(best > 0)
+                out.append(pd.DataFrame({"id": a_ids[low + r], "neighbour": b_ids[top[r, c]], "score": best[r, c]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "score": []}).astype({"id": object, "neighbour": object, "score": float})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, score double")
+    ranked = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+
+
 def auto_pairs(tag_pairs: DataFrame, user_pairs: DataFrame, tagged: DataFrame, used: DataFrame) -> DataFrame:
     """``a, b, distance``: mean of both distances over pairs near by either (RC6).
 

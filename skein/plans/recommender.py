@@ -189,12 +189,18 @@ def _user_pairs(s: S, d: D) -> DataFrame:
 @query(_neighbour_sql("SELECT item_id AS id, unnest(tags) AS token FROM i", "i", _SHOWN), "i")
 def rc4_items_by_tags(s: S, d: D) -> DataFrame:
     """Also DI2, RC8 and RC9."""
-    return similarity.neighbours(_tag_pairs(s, d), 10, _hidden(s, d))
+    return _tag_neighbours(s, d)
+
+
+def _tag_neighbours(s: S, d: D) -> DataFrame:
+    tokens = item_tags(s, d)
+    return similarity.token_neighbours(tokens, features.idf(tokens, items(s, d).count()), 10, _hidden(s, d))
 
 
 @query(_neighbour_sql("SELECT item_id AS id, user_id AS token FROM p", "i", _SHOWN), "p")
 def rc5_items_by_users(s: S, d: D) -> DataFrame:
-    return similarity.neighbours(_user_pairs(s, d), 10, _hidden(s, d))
+    tokens = _user_tokens(s, d)
+    return similarity.token_neighbours(tokens, features.idf(tokens, items(s, d).count()), 10, _hidden(s, d))
 
 
 @query(_neighbour_sql("SELECT user_id AS id, item_id AS token FROM p", "u"), "p")
@@ -205,7 +211,7 @@ def rc10_users_by_items(s: S, d: D) -> DataFrame:
 
 def _user_neighbours(s: S, d: D) -> DataFrame:
     tokens = liked(s, d).select(F.col("user_id").alias("id"), F.col("item_id").alias("token"))
-    return similarity.neighbours(similarity.token_pairs(tokens, features.idf(tokens, users(s, d).count())), 10)
+    return similarity.token_neighbours(tokens, features.idf(tokens, users(s, d).count()), 10)
 
 
 _AUTO = f"""WITH tt AS (SELECT item_id AS id, unnest(tags) AS token FROM i), tu AS (SELECT item_id AS id, user_id AS token FROM p), n AS (SELECT count(*) AS n FROM i),
@@ -246,7 +252,7 @@ i1 AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DES
 
 
 def _item_lists(s: S, d: D) -> DataFrame:
-    return recommend.item_to_item_candidates(liked(s, d), similarity.neighbours(_tag_pairs(s, d), 10, _hidden(s, d)), 20, seen=classified(s, d))
+    return recommend.item_to_item_candidates(liked(s, d), _tag_neighbours(s, d), 20, seen=classified(s, d))
 
 
 @query(f"WITH {_I2I} SELECT user_id, item_id, score, rank FROM i1 WHERE rank <= 20", "p")
@@ -317,7 +323,7 @@ SELECT * FROM (SELECT session_id, item_id, score, CAST(row_number() OVER (PARTIT
   WHERE NOT EXISTS (SELECT 1 FROM e0 WHERE e0.session_id = s0.session_id AND e0.item_id = s0.item_id)) WHERE rank <= 10""", "p")
 def rc22_session(s: S, d: D) -> DataFrame:
     recent = classified(s, d).where((F.col("kind") != "negative") & (F.col("timestamp") >= F.lit("2014-02-09 00:00:00").cast("timestamp_ntz"))).select(F.col("user_id").alias("session_id"), "item_id", "timestamp")
-    return recommend.session(recent, similarity.neighbours(_tag_pairs(s, d), 10, _hidden(s, d)), 10, 5)
+    return recommend.session(recent, _tag_neighbours(s, d), 10, 5)
 
 
 @query(f"""WITH h AS (SELECT user_id, item_id, feedback_type, value, CAST(timestamp AS DATE) AS day FROM m WHERE timestamp <= {T0} AND CAST(timestamp AS DATE) > DATE '2014-02-10' - 30),

@@ -41,7 +41,12 @@ def test_equal_sets_are_pruned_and_hidden_are_no_neighbours(spark, rows):
     weights = spark.createDataFrame([("x", 1.0, 1), ("y", 1.0, 1)], "token string, idf double, freq int")
     pairs = similarity.token_pairs(tokens, weights)
     assert rows(similarity.neighbours(pairs, 5), "id", "neighbour") == [("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")]
-    assert rows(similarity.neighbours(pairs, 5, spark.createDataFrame([("c",)], "id string")), "id", "neighbour") == [("c", "a"), ("c", "b")]
+    hidden = spark.createDataFrame([("c",)], "id string")
+    assert rows(similarity.neighbours(pairs, 5, hidden), "id", "neighbour") == [("c", "a"), ("c", "b")]
+    for block in (2, 1000):
+        assert rows(similarity.token_neighbours(tokens, weights, 5, block_ids=block)) == rows(similarity.neighbours(pairs, 5))
+        assert rows(similarity.token_neighbours(tokens, weights, 1, hidden, block)) == rows(similarity.neighbours(pairs, 1, hidden))
+    assert similarity.token_neighbours(tokens.limit(0), weights, 5).count() == 0
     auto = similarity.auto_pairs(pairs, pairs.limit(0), tokens, tokens.limit(0))
     got = {(r["a"], r["b"]): r["distance"] for r in auto.collect()}
     want = {(r["a"], r["b"]): r["distance"] / 2 for r in pairs.collect()}
