@@ -183,16 +183,30 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, lists: Lists =
         base, ids = _unit(here["vec"]), here["cid"].to_numpy()
         order = np.argsort(ids)
         base, ids = base[order], ids[order]
+        rough = base.astype(np.float32)
         out = []
         for start in range(0, len(there), 512):
             some = there.iloc[start : start + 512]
-            own = some["cid"].to_numpy()
-            near = np.round(_unit(some["vec"]) @ base.T, 12)
-            near[own[:, None] == ids[None, :]] = -2
-            top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            cosine = np.take_along_axis(near, top, axis=1)
-            r, c = np.nonzero(cosine >= max(floor, -1.5))
-            out.append(pd.DataFrame({"cid": own[r], "other": ids[top[r, c]], "cosine": cosine[r, c]}))
+            own, asked = some["cid"].to_numpy(), _unit(some["vec"])
+            if floor > -1:
+                # few are near enough: single precision finds them, double precision ranks them
+                r, c = np.nonzero(asked.astype(np.float32) @ rough.T >= floor - 1e-4)
+                kept = own[r] != ids[c]
+                r, c = r[kept], c[kept]
+                cosine = np.round(np.einsum("nd,nd->n", asked[r], base[c]), 12)
+                order = np.lexsort((c, -cosine, r))
+                r, c, cosine = r[order], c[order], cosine[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                good = (place < k) & (cosine >= floor)
+                r, c, cosine = r[good], c[good], cosine[good]
+            else:
+                near = np.round(asked @ base.T, 12)
+                near[own[:, None] == ids[None, :]] = -2
+                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(near, top, axis=1)
+                r, at = np.nonzero(best >= -1.5)
+                c, cosine = top[r, at], best[r, at]
+            out.append(pd.DataFrame({"cid": own[r], "other": ids[c], "cosine": cosine}))
         return pd.concat(out)
 
     found = together.groupBy("list", "slice", "part").applyInPandas(meet, "cid bigint, other bigint, cosine double").groupBy("cid", "other").agg(F.max("cosine").alias("cosine"))
