@@ -110,13 +110,21 @@ def latest_split(positives: DataFrame, shots: int) -> DataFrame:
 
 
 def random_split(samples: DataFrame, ratio: float = 0.2, seed: int = 0, keys: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
-    """``samples`` with ``is_test``: exactly ``int(n * ratio)`` rows, those of the least hashes (WN11). The bound is found by range partitions, not by one sorted task."""
+    """``samples`` with ``is_test``: the ``int(n * ratio)`` rows of the least hashes (WN11). Rows of equal keys stay together.
+
+    Counts by the hash's upper 16 bits tell in which slice of the hashes the bound lies; only that slice is sorted.
+    """
     hashed = samples.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    n = samples.count()
-    take = int(n * ratio)
-    if take <= 0:
+    piece = F.shiftright("_h", 48)
+    counts = hashed.groupBy(piece.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()  # at most 65,536
+    left = int(sum(r["n"] for r in counts) * ratio)
+    if left <= 0:
         return samples.withColumn("is_test", F.lit(False))
-    edge = hashed.select("_h").orderBy("_h").offset(take - 1).limit(1).collect()[0]["_h"]
+    for r in counts:
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    edge = hashed.where(piece == r["b"]).select("_h").orderBy("_h").limit(left).agg(F.max("_h").alias("e")).first()["e"]
     return hashed.withColumn("is_test", F.col("_h") <= edge).drop("_h")
 
 
