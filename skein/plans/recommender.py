@@ -405,7 +405,7 @@ def _predictions(s: S, d: D) -> DataFrame:
     return I.samples(classified(s, d)).join(freq, "item_id", "left").withColumn("score", (F.coalesce("n", F.lit(0)) - 40).cast("double"))
 
 
-@query(f"""WITH {_PRED} SELECT round(count(*) FILTER (WHERE target > 0 AND score > 0) / count(*) FILTER (WHERE score > 0), 6) AS precision, round(count(*) FILTER (WHERE target > 0 AND score > 0) / count(*) FILTER (WHERE target > 0), 6) AS recall,
+@query(f"""WITH {_PRED} SELECT coalesce(round(count(*) FILTER (WHERE target > 0 AND score > 0) / nullif(count(*) FILTER (WHERE score > 0), 0), 6), 0) AS precision, coalesce(round(count(*) FILTER (WHERE target > 0 AND score > 0) / nullif(count(*) FILTER (WHERE target > 0), 0), 6), 0) AS recall,
 round(count(*) FILTER (WHERE target > 0 AND score > 0 OR target < 0 AND score < 0) / count(*), 6) AS accuracy FROM pr""", "p")
 def ag20_click_metrics(s: S, d: D) -> DataFrame:
     return evaluate.click_metrics(_predictions(s, d)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])
