@@ -146,33 +146,52 @@ def vector_neighbours(vectors: DataFrame, n: int, metric: str = "euclidean", que
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
-def hashed_neighbours(vectors: DataFrame, n: int, tables: int = 12, bucket_rows: int = 500, seed: int = 0, metric: str = "cosine") -> DataFrame:
+def hashed_neighbours(vectors: DataFrame, n: int, tables: int = 8, bucket_rows: int = 4000, seed: int = 0, metric: str = "cosine") -> DataFrame:
     """``id, neighbour, distance, rank`` by random hyperplanes: approximate, for collections too large for all blocks (AN1).
 
-    In each of ``tables`` hash tables vectors of one sign pattern meet; patterns are as long as makes buckets of about
-    ``bucket_rows``. A larger bucket is searched in slices. Distances are exact and rounded, the set of neighbours isn't;
-    more tables find more. Vectors have one length.
+    In each of ``tables`` hash tables a vector is held under its sign pattern and searched for under the patterns most
+    likely to hold its neighbours: its own, and those with one or two signs changed of the planes it is nearest to.
+    Patterns are as long as makes buckets of about ``bucket_rows``; the patterns searched grow with the square of that
+    length, as a longer one parts more neighbours. A collection so small that they would be all patterns is searched
+    as one bucket, exactly. A larger bucket is searched in slices. Distances are exact and rounded, the set of
+    neighbours isn't; more tables find more. Vectors have one length.
     """
     count = vectors.count()
     if not count:
         return vectors.sparkSession.createDataFrame([], "id string, neighbour string, distance double, rank int")
-    bits = max(1, min(30, round(np.log2(max(2, count / bucket_rows)))))
+    bits = max(0, min(30, round(np.log2(max(1, count / bucket_rows)))))
+    probes = max(1, bits * bits // 6)
+    if tables * probes >= 1 << bits:
+        tables, probes, bits = 1, 1, 0
     dims = vectors.select(F.size("vector").alias("d")).first()["d"]
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+    flips = [[]] + [[a] for a in range(bits)] + [[a, b] for a in range(bits) for b in range(a)]
+    changed = np.array([[float(a in f) for a in range(bits)] for f in flips]).reshape(len(flips), bits)
+    masks = (changed.astype(np.int64) << np.arange(bits)).sum(axis=1)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["vector"]).astype(np.float64)
-            codes = [((x @ p.T > 0) * (1 << np.arange(bits))).sum(axis=1) for p in planes]
-            yield pd.DataFrame({"id": batch["id"], "vector": batch["vector"], "codes": list(np.stack(codes, axis=1).astype(np.int64))})
-
-    placed = vectors.select("id", "vector").mapInPandas(sign, "id string, vector array<float>, codes array<bigint>").select("id", "vector", F.posexplode("codes").alias("t", "code"))
-    sizes = placed.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * bucket_rows)).cast("int").alias("slices"))
-    placed = placed.join(sizes, ["t", "code"])
-    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
-    asks = placed.select("t", "code", "id", "vector", own.alias("i"), every.alias("j"), F.lit(True).alias("asks"))
-    held = placed.select("t", "code", "id", "vector", every.alias("i"), own.alias("j"), F.lit(False).alias("asks"))
+            for start in range(0, len(batch), 2000):
+                part = batch.iloc[start : start + 2000]
+                x = np.stack(part["vector"]).astype(np.float64)
+                codes, asked = [], []
+                for p in planes:
+                    side = x @ p.T
+                    own = ((side > 0).astype(np.int64) << np.arange(bits)).sum(axis=1)
+                    cost = (side / np.linalg.norm(p, axis=1)) ** 2 @ changed.T
+                    codes.append(own)
+                    asked.append(own[:, None] ^ masks[np.argsort(cost, axis=1, kind="stable")[:, :probes]])
+                yield pd.DataFrame({"id": part["id"], "vector": part["vector"], "codes": list(np.stack(codes, axis=1)), "asked": list(np.concatenate(asked, axis=1))})
+
+    placed = vectors.select("id", "vector").mapInPandas(sign, "id string, vector array<float>, codes array<bigint>, asked array<bigint>")
+    held = placed.select("id", "vector", F.posexplode("codes").alias("t", "code"))
+    asks = placed.select("id", "vector", F.posexplode("asked").alias("at", "code")).withColumn("t", F.floor(F.col("at") / probes).cast("int")).drop("at")
+    pieces = lambda df, name: df.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * bucket_rows)).cast("int").alias(name))
+    sizes = pieces(held, "slices").join(pieces(asks, "parts"), ["t", "code"])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    asks = asks.join(sizes, ["t", "code"]).select("t", "code", "id", "vector", own("parts").alias("i"), every("slices").alias("j"), F.lit(True).alias("asks"))
+    held = held.join(sizes, ["t", "code"]).select("t", "code", "id", "vector", every("parts").alias("i"), own("slices").alias("j"), F.lit(False).alias("asks"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         q, x = group[group["asks"]], group[~group["asks"]].sort_values("id")
@@ -190,6 +209,7 @@ def _nearest_in_block(q: pd.DataFrame, x: pd.DataFrame, n: int, metric: str, sam
     out = []
     base, ids = np.stack(x["vector"]).astype(np.float64), x["id"].to_numpy()
     square = (base**2).sum(1)
+    number = np.searchsorted(ids, ids)
     for start in range(0, len(q), 512):
         some = q.iloc[start : start + 512]
         v, own = np.stack(some["vector"]).astype(np.float64), some["id"].to_numpy()
@@ -201,15 +221,21 @@ def _nearest_in_block(q: pd.DataFrame, x: pd.DataFrame, n: int, metric: str, sam
             far = np.where(norm > 0, 1 - prod / np.where(norm > 0, norm, 1), 1)
         else:
             far = -prod
-        far = np.round(far, 6)
-        bad = own[:, None] == ids[None, :] if same else np.zeros(far.shape, bool)
         if prune_zero and metric != "dot":
-            bad = bad | (far <= 0)
-        far = np.where(bad, np.inf, far)
-        top = np.argsort(far, axis=1, kind="stable")[:, :n]
-        d = np.take_along_axis(far, top, axis=1)
-        r, c = np.nonzero(np.isfinite(d))
-        out.append(pd.DataFrame({"id": own[r], "neighbour": ids[top[r, c]], "distance": d[r, c]}))
+            far[far * 1e6 <= 0.5] = np.inf  # 0 when rounded
+        if same:
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            mine = np.where(ids[at] == own, number[at], -1)
+            far[mine[:, None] == number[None, :]] = np.inf
+        # all that may be among the n nearest once rounded; only these are sorted
+        cut = np.partition(far, n - 1, axis=1)[:, n - 1 : n] + 1e-6 if far.shape[1] > n else np.inf
+        r, c = np.nonzero((far <= cut) & np.isfinite(far))
+        d = np.round(far[r, c], 6)
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < n
+        r, c, d = r[kept], c[kept], d[kept]
+        out.append(pd.DataFrame({"id": own[r], "neighbour": ids[c], "distance": d}))
     return pd.concat(out)
 
 

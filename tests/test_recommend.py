@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,21 @@ def test_vector_neighbours_closed_form(spark):
     assert similarity.vector_neighbours(vectors.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [30, 4000])
+def test_hashed_neighbours_recall(spark, bucket):
+    """3,000 vectors without clusters, so most neighbours are far; 30 a bucket makes patterns of 7 signs, 4,000 a single bucket."""
+    x = np.random.default_rng(4).normal(size=(3000, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -2)
+    want = {(f"{i:04d}", f"{j:04d}") for i, top in enumerate(np.argsort(-near, axis=1)[:, :5]) for j in top}
+    got = similarity.hashed_neighbours(vectors, 5, bucket_rows=bucket).collect()
+    assert len({(r["id"], r["rank"]) for r in got}) == len(got) == 15000
+    found = len(want & {(r["id"], r["neighbour"]) for r in got}) / len(want)
+    assert found > (0.95 if bucket == 30 else 0.9999)
+
+
 def test_leaderboard(spark, rows):
     items = spark.createDataFrame([(f"i{k:02d}", k == 9, ["even"] if k % 2 == 0 else ["odd"], T) for k in range(10)], "item_id string, is_hidden boolean, categories array<string>, timestamp timestamp_ntz")
     fb = spark.createDataFrame([(f"i{k:02d}", "like", 1.0) for k in range(10) for _ in range(k)], "item_id string, feedback_type string, value double")
