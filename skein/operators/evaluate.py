@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,11 +139,12 @@ def split_by_user_time(samples: DataFrame, ratio: float = 0.2) -> DataFrame:
     return samples.withColumn("is_test", back <= take)
 
 
-def sample_negatives(users: DataFrame, items: DataFrame, known: DataFrame, n: int, seed: int = 0, rounds: int = 3) -> DataFrame:
-    """``user_id, item_id``: up to ``n`` items of each user that aren't among their ``known`` ones (WN14).
+def sample_negatives(users: DataFrame, items: DataFrame, known: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``user_id, item_id``: ``n`` items of each user that aren't among their ``known`` ones, all of them if there are at most ``n`` (WN14).
 
-    Items get dense numbers; each user draws numbers by hash, several times more than wanted, known and repeated ones
-    leave, and the first ``n`` stay. No user meets all items. Users whose pool is small may get fewer than ``n``.
+    Items get dense numbers; each user walks through a permutation of the numbers of their own, made by hashes, so no
+    number comes twice. As many steps as ``n`` and the user's known items together can't miss: known items leave, and
+    the first ``n`` stay. No user meets all items unless nearly all are known.
     """
     from skein.operators.features import dictionary
 
@@ -149,8 +152,18 @@ def sample_negatives(users: DataFrame, items: DataFrame, known: DataFrame, n: in
     size = numbered.count()
     if not size:
         return known.select("user_id", "item_id").limit(0)
-    draws = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(max(1, rounds * n) - 1))).alias("draw"))
-    drawn = draws.select("user_id", "draw", F.pmod(F.xxhash64(F.lit(seed), "user_id", "draw"), F.lit(size)).alias("index"))
-    first = drawn.groupBy("user_id", "index").agg(F.min("draw").alias("draw"))
-    rows = first.join(numbered, "index").join(known.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    # numbers are cells of a grid of a x b, of near-square ones that with the fewest cells beyond the last number
+    a = min(range(max(1, math.isqrt(size) // 2), math.isqrt(size) + 1), key=lambda a: (-size % a, -a))
+    b = -(-size // a)
+    pairs = known.select("user_id", "item_id").distinct()
+    counts = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("known"))
+    steps = F.least(F.lit(a * b), F.coalesce("known", F.lit(0)) + F.lit(n + a * b - size))
+    draws = users.select("user_id").distinct().join(counts, "user_id", "left").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), steps - 1)))
+    # a Feistel network on the grid: each round moves one coordinate by a hash of the other
+    cells = draws.select("user_id", "draw", F.floor(F.col("draw") / b).alias("x"), (F.col("draw") % b).alias("y"))
+    for r in range(4):
+        cells = cells.withColumn("x", F.pmod(F.col("x") + F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * r), "user_id", "y"), F.lit(a)), F.lit(a)))
+        cells = cells.withColumn("y", F.pmod(F.col("y") + F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * r + 1), "user_id", "x"), F.lit(b)), F.lit(b)))
+    drawn = cells.select("user_id", "draw", (F.col("x") * b + F.col("y")).alias("index"))
+    rows = drawn.join(numbered, "index").join(pairs, ["user_id", "item_id"], "left_anti")
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))).where(F.col("rn") <= n).select("user_id", "item_id")

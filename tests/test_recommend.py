@@ -144,6 +144,17 @@ def test_splits(spark, rows):
     assert neg.join(pos, ["user_id", "item_id"]).count() == 0 and neg.distinct().count() == neg.count() == 10
 
 
+def test_negatives_are_never_short(spark):
+    """Of 211 items w knows 160, x all but 7, y none, z all; of 20 items everyone gets what is left."""
+    items = spark.createDataFrame([(f"i{k:03d}",) for k in range(211)], "item_id string")
+    users = spark.createDataFrame([(u,) for u in "wxyz"], "user_id string")
+    known = spark.createDataFrame([(u, f"i{k:03d}") for u, m in (("w", 160), ("x", 204), ("z", 211)) for k in range(m)] + [("w", "gone")], "user_id string, item_id string")
+    for k, want in ((211, {"w": 20, "x": 7, "y": 20}), (20, {"y": 20})):
+        neg = evaluate.sample_negatives(users, items.where(F.col("item_id") < f"i{k:03d}"), known, 20)
+        assert {r["user_id"]: r["count"] for r in neg.distinct().groupBy("user_id").count().collect()} == want
+        assert neg.join(known, ["user_id", "item_id"]).count() == 0 and neg.distinct().count() == neg.count()
+
+
 def test_scalers(spark, rows):
     df = spark.createDataFrame([("a", float(v)) for v in (5, 1, 3, 2, 4, 9, 7, 8)] + [("b", -1.0), ("b", 1.0), ("c", 2.0)], "k string, x double")
     r = {x["key"]: x for x in features.robust_fit(df, "k", "x").collect()}
