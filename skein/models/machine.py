@@ -33,14 +33,14 @@ def hashed_features(samples: DataFrame, user_labels: DataFrame, item_labels: Dat
 
 
 def to_vectors(df: DataFrame, dims: int = DIMS) -> DataFrame:
-    """``pairs`` as ``features``, a sparse vector; values of one position add up."""
+    """``pairs`` as ``features``, a sparse vector; values of one position add up. Zeros are left out, as ``pyspark.ml`` can't fit rows that hold them."""
     from pyspark.ml.linalg import VectorUDT, Vectors
 
     def run(pairs):
         total: dict[int, float] = {}
         for p in pairs:
             total[p["i"]] = total.get(p["i"], 0.0) + p["w"]
-        return Vectors.sparse(dims, total)
+        return Vectors.sparse(dims, {i: w for i, w in total.items() if w})
 
     return df.withColumn("features", F.udf(run, VectorUDT())("pairs")).withColumn("label", (F.col("target") > 0).cast("double"))
 

@@ -509,17 +509,34 @@ def md1_bpr_candidates(s: S, d: D) -> DataFrame:
     return _top_factors(s, d, bpr(liked(s, d).select("user_id", "item_id"), 16, 2, 3))
 
 
+def click_features(s: S, d: D) -> tuple[DataFrame, int]:
+    """``user_id, item_id, target, pairs`` of all samples with all labels of users and items, numbers scaled, and how many positions the pairs are hashed into: at least twice the distinct features."""
+    from skein.functions import labels as L
+    from skein.models import machine
+
+    def scaled(labels: DataFrame) -> DataFrame:
+        rows = labels.where("weight is not null and not isnan(weight) and abs(weight) <> double('infinity')")
+        numbers = features.numeric_features(rows, "name", "weight").where("numeric").select(F.col("key").alias("name"))
+        fitted = features.auto_scaled(rows.join(numbers, "name", "left_semi"), "name", "weight")
+        return rows.join(numbers, "name", "left_anti").select("id", "name", "weight").unionByName(fitted.select("id", "name", F.col("scaled").alias("weight")))
+
+    user_labels = scaled(L.weighted(table(s, d, "users").withColumn("user_id", F.trim("user_id")), "user_id", "labels"))
+    categories = items(s, d).select(F.col("item_id").alias("id"), F.explode("categories").alias("name")).withColumn("weight", F.lit(1.0))
+    item_labels = scaled(L.weighted(table(s, d, "items").withColumn("item_id", F.trim("item_id")), "item_id", "labels")).unionByName(categories)
+    names = [df.select("name").distinct().count() for df in (user_labels, item_labels)]
+    count = users(s, d).count() + items(s, d).count() + sum(names)
+    dims = max(machine.DIMS, 1 << (2 * count - 1).bit_length())
+    return machine.hashed_features(I.samples(classified(s, d)), user_labels, item_labels, dims), dims
+
+
 @query()
 def md8_click_scores(s: S, d: D) -> DataFrame:
     """Also MD9, RC18, WN11 and PR13: a machine trained on four fifths of the samples scores the rest."""
-    from skein.functions import labels as L
     from skein.models import machine
 
-    user_labels = L.weighted(table(s, d, "users").withColumn("user_id", F.trim("user_id")), "user_id", "labels").where("name not like 'balance%'")
-    item_labels = items(s, d).select(F.col("item_id").alias("id"), F.explode("categories").alias("name")).withColumn("weight", F.lit(1.0))
-    rows = machine.to_vectors(machine.hashed_features(I.samples(classified(s, d)), user_labels, item_labels, 1 << 12), 1 << 12)
-    split = evaluate.random_split(rows)
-    model = machine.train_fm(split.where("not is_test"), 4, 10)
+    pairs, dims = click_features(s, d)
+    split = evaluate.random_split(machine.to_vectors(pairs, dims))
+    model = machine.train_fm(split.where("not is_test"))
     return machine.scores(model, split.where("is_test")).select("user_id", "item_id", "target", F.round("score", 6).alias("score"))
 
 

@@ -81,6 +81,26 @@ def test_machine(spark):
     assert with_embeddings(at, value, np.zeros((len(at), 2, 3), np.float32)).shape == (len(at),)
 
 
+def test_click_scores_use_all_labels(spark, monkeypatch):
+    """The query's features: ids and every label at positions of their own, numbers scaled into 0..1, the operator's factors and iterations."""
+    from skein.models import machine
+    from skein.plans import recommender
+
+    fitted = {}
+    monkeypatch.setattr(machine, "scores", lambda model, rows: fitted.update(model=model, pairs=rows.select("pairs")) or rows.withColumn("score", F.lit(0.0)))
+    recommender.md8_click_scores(spark, "/root/testdata/sf0.001")
+    model, pairs = fitted["model"], [r["pairs"] for r in fitted["pairs"].collect()]
+    assert model.numFeatures >= machine.DIMS and model.getFactorSize() == 8 and model.getMaxIter() == 20
+    assert all(0 <= p["w"] <= 1 for row in pairs for p in row)
+    where = lambda k: spark.range(1).select(F.pmod(F.xxhash64(F.lit(k)), F.lit(model.numFeatures))).first()[0]
+    held = {p["i"] for row in pairs for p in row}
+    assert where("u_balance.") in held and where("i_price.") in held
+    labels = spark.read.parquet("/root/testdata/sf0.001/items.parquet").select("labels.brand", "labels.type", F.explode("labels.tags").alias("tag")).where("brand is not null and type is not null and tag is not null")
+    for name in ("brand", "type", "tag"):
+        seen = [where(f"i_{'tags' if name == 'tag' else name}.{r[0]}") in held for r in labels.select(name).distinct().limit(5).collect()]
+        assert any(seen), name
+
+
 def test_search_and_stopping():
     params, score = search({"x": (0.01, 10.0), "k": [1, 2]}, lambda p: -abs(p["x"] - 1) + p["k"], 40)
     assert params["k"] == 2 and score > 1.5
