@@ -38,35 +38,57 @@ def fill(weights: dict[str, float], limits: dict[str, float], total: float) -> d
     return got
 
 
-def pfair_slots(sizes: dict[str, float], block: float) -> dict[tuple[str, int], int]:
-    """Slot of each (source, block number). Block j of a source of weight w is released at floor(j / w) and due at ceil((j + 1) / w).
+def pfair_slots(blocks: dict[tuple[str, int], int]) -> dict[tuple[str, int], int]:
+    """Slot of each (source, block number) of one mix, from the blocks' sizes in tokens.
 
-    One block is placed a slot: of the released ones that with the earliest deadline (then the shorter window, then
-    the source's name). A source is then never a whole block ahead of or behind its share. ``sizes`` are in tokens;
-    a source's last block may be a part of one.
+    A source of weight w (its part of the total) whose blocks before this one hold c tokens may start the block once
+    c / w tokens have gone out and has to end it by (c + its size) / w. Of the started ones that with the earliest
+    deadline goes next (then the later start, then the source's name). As the sources' leads and lags add up to
+    nothing, one may always start; no source is ever further from its share of what has gone out than the largest block.
     """
+    queues: dict[str, list[tuple[int, int]]] = {}
+    for (s, j), size in sorted(blocks.items()):
+        queues.setdefault(s, []).append((j, size))
+    sizes = {s: sum(n for _, n in q) for s, q in queues.items()}
     total = sum(sizes.values())
-    counts = {s: math.ceil(v / block - 1e-9) for s, v in sizes.items() if v > 0}
-    weight = {s: sizes[s] / total for s in counts}
-    due = lambda s, j: math.ceil((j + 1) / weight[s] - 1e-9)
-    release = lambda s, j: math.floor(j / weight[s] + 1e-9)
-    waiting = [(release(s, 0), s, 0) for s in counts]
+    given = dict.fromkeys(queues, 0)
+    place = dict.fromkeys(queues, 0)
+    ready: list[tuple[float, float, str]] = []
+    waiting = [(0.0, s) for s in queues if sizes[s]]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
     slots: dict[tuple[str, int], int] = {}
-    at = 0
+    out = 0
     while waiting or ready:
-        while waiting and waiting[0][0] <= at or waiting and not ready:
-            first, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, j), due(s, j) - first, s, j))
-        _, _, s, j = heapq.heappop(ready)
-        slots[s, j] = at
-        at += 1
-        if j + 1 < counts[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
+        while waiting and (waiting[0][0] <= out * (1 + 1e-12) or not ready):
+            start, s = heapq.heappop(waiting)
+            heapq.heappush(ready, ((given[s] + queues[s][place[s]][1]) * total / sizes[s], -start, s))
+        _, _, s = heapq.heappop(ready)
+        j, size = queues[s][place[s]]
+        slots[s, j] = len(slots)
+        out, given[s], place[s] = out + size, given[s] + size, place[s] + 1
+        if place[s] < len(queues[s]):
+            heapq.heappush(waiting, (given[s] * total / sizes[s], s))
     return slots
 
 
+def refill(gap: float, lengths: dict[int, int]) -> dict[int, int]:
+    """How many texts of each length to add so that ``gap`` tokens are missed by half the shortest text left at most.
+
+    ``lengths`` has the number of texts at hand by length. The longest that fits goes first; at last the shortest one
+    left if that comes nearer.
+    """
+    taken: dict[int, int] = {}
+    for n in sorted(lengths, reverse=True):
+        k = min(lengths[n], int(gap // n))
+        if k:
+            taken[n] = k
+            gap -= k * n
+    rest = [n for n in lengths if lengths[n] > taken.get(n, 0)]
+    if rest and min(rest) < 2 * gap:
+        taken[min(rest)] = taken.get(min(rest), 0) + 1
+    return taken
+
+
 def _targets(targets: DataFrame) -> dict[str, dict]:
     """The mixes; the table is configuration, a row for each mix and source."""
     share = F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(0.0)
@@ -88,57 +110,96 @@ class Mixture:
     Sizes are tokens. The total wanted of a mix is ``size_share`` of the tokens of all documents. Shares are divided
     by their sum over the sources that have texts; null, negative, NaN and infinite shares are 0, repeated targets of
     a source add up. A source gives at most ``max_repeats`` times its distinct texts; what is then missing comes from
-    the others by their weights, and if all are used up the mix stays short. Copies of a text are one text: that of
-    the smallest ``doc_id`` among the named sources, so no text is used more than its source's ``max_repeats`` times.
-    Documents whose text is null or empty, or whose source no mix names, aren't used. A text is taken if its middle
-    lies within the wanted size, so a source misses it by half a text at most. Empty tables give no rows.
+    the others by their weights, and if all are used up the mix stays short. Copies of a text are one text of a mix:
+    that of the smallest ``doc_id`` among the sources that this mix gives a share above 0, so no text is used more
+    than its source's ``max_repeats`` times and other mixes change nothing. Documents whose text is null or empty, or
+    whose source no mix names, aren't used.
+
+    Texts of a source go in order of their hash, over and over, as long as they fit the wanted size; the rest is
+    filled with texts of lengths that fit it, so a source misses its size by half of its shortest text left at most.
+    A block is the whole texts that start within the next thousandth of the mix; ``plan.block`` is the size of the
+    largest one. Read by (slot, start), a mix never has a source further from its share than one such block. Empty
+    tables give no rows.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS, vocabulary: tuple[str, str] | None = None):
         spark = documents.sparkSession
         scratch = Scratch(spark, "mix")
         mixes = _targets(targets)
-        named = sorted({s for m in mixes.values() for s in m["sources"]})
         rows = documents.select("doc_id", source_name(F.col("source").cast("string")).alias("source"), F.md5("text").alias("text_key"), F.col("text").cast("string").alias("text"))
         sized = scratch.cut(count_tokens(rows, "text", vocabulary=vocabulary))
         corpus = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+        named = spark.createDataFrame([(mix, s) for mix, m in mixes.items() for s, (share, _) in m["sources"].items() if share > 0], "mix_name string, source string")
         texts = (
-            sized.where((F.col("n_tokens") > 0) & F.col("source").isin(named) & F.col("doc_id").isNotNull())
-            .groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("first"))
-            .select("first.*", F.xxhash64("text_key").alias("h"))
+            sized.where("n_tokens > 0 and doc_id is not null").join(F.broadcast(named), "source")  # as many rows as targets
+            .groupBy("mix_name", "text_key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("first"))
+            .select("mix_name", "first.*", F.xxhash64("text_key").alias("h"))
         )
         texts = scratch.cut(texts)
-        rows_by_source = {r["source"]: r for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
-        supply = {s: float(r["size"]) for s, r in rows_by_source.items()}
-        buckets = max(16, math.ceil(max((r["n"] for r in rows_by_source.values()), default=0) / BUCKET_ROWS) * 2)
-        # offsets of texts in their source's order, which is by hash: sums of buckets first, then within each bucket
-        placed = texts.withColumn("bucket", F.pmod(F.shiftright("h", 16), F.lit(buckets)))
-        sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size"))
-        ahead = sums.withColumn("ahead", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).drop("size")
-        inner = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.withColumn("within", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(ahead, ["source", "bucket"])
-        placed = placed.select("doc_id", "source", "n_tokens", (F.col("ahead") + F.col("within")).alias("at"))
-        plan, slots = [], []
+        stock = {(r["mix_name"], r["source"]): r for r in texts.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+        plan, todo = [], []
         for mix, m in mixes.items():
-            weights = {s: share for s, (share, _) in m["sources"].items() if supply.get(s)}
-            limits = {s: supply[s] * m["sources"][s][1] for s in weights}
-            wanted = fill(weights, limits, m["size"] * corpus)
-            total = sum(wanted.values())
-            block = total / blocks if total else 1.0
+            supply = {s: stock[mix, s]["size"] for s in m["sources"] if (mix, s) in stock}
+            wanted = fill({s: m["sources"][s][0] for s in supply}, {s: supply[s] * m["sources"][s][1] for s in supply}, m["size"] * corpus)
             all_shares = sum(share for share, _ in m["sources"].values()) or 1.0
             for s, (share, repeats) in m["sources"].items():
-                plan.append((mix, s, share / all_shares, repeats, supply.get(s, 0.0), wanted.get(s, 0.0), block))
-            slots += [(mix, s, j, slot) for (s, j), slot in pfair_slots({s: v for s, v in wanted.items() if v > 0}, block).items()]
-        self.plan = spark.createDataFrame(plan, "mix_name string, source string, target_share double, max_repeats int, supply double, wanted double, block double")
+                plan.append((mix, s, share / all_shares, repeats, stock[mix, s]["n"] if s in supply else 0, supply.get(s, 0), float(wanted.get(s, 0))))
+                if wanted.get(s, 0) > 0:
+                    todo.append((mix, s, repeats, supply[s], float(wanted[s]), max(1, math.ceil(sum(wanted.values()) / blocks))))
+        todo = spark.createDataFrame(todo, "mix_name string, source string, repeats int, supply long, wanted double, quantum long")
+        # offsets of texts in their source's order, which is by hash: sums of buckets first, then within each bucket
+        buckets = max(16, math.ceil(max((r["n"] for r in stock.values()), default=0) / BUCKET_ROWS) * 2)
+        placed = texts.withColumn("bucket", F.pmod(F.shiftright("h", 16), F.lit(buckets)))
+        sums = placed.groupBy("mix_name", "source", "bucket").agg(F.sum("n_tokens").alias("size"))
+        ahead = sums.withColumn("ahead", F.sum("size").over(Window.partitionBy("mix_name", "source").orderBy("bucket")) - F.col("size")).drop("size")
+        inner = Window.partitionBy("mix_name", "source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("within", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(ahead, ["mix_name", "source", "bucket"])
+        placed = placed.select("mix_name", "source", "doc_id", "n_tokens", "h", (F.col("ahead") + F.col("within")).alias("at"))
+        placed = scratch.cut(placed.join(F.broadcast(todo), ["mix_name", "source"]))  # as many rows as targets
+        uses = placed.withColumn("use_no", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.col("wanted") / F.col("supply")), F.col("repeats")).cast("int") - 1)))
+        uses = uses.withColumn("start", F.col("use_no") * F.col("supply") + F.col("at")).where("start + n_tokens <= wanted")
+        keep = ["mix_name", "source", "doc_id", "n_tokens", "use_no", "start", "quantum"]
+        prefix = scratch.cut(uses.select(*keep))
+        extra = self._extra(placed, prefix, todo)
+        chosen = scratch.cut(prefix if extra is None else prefix.unionByName(extra.select(*keep)))
+        chosen = chosen.withColumn("block_no", F.floor(F.col("start") / F.col("quantum")))
+        sizes: dict[str, dict[tuple[str, int], int]] = {}
+        for r in chosen.groupBy("mix_name", "source", "block_no").agg(F.sum("n_tokens").alias("n")).collect():  # about blocks + sources rows a mix
+            sizes.setdefault(r["mix_name"], {})[r["source"], r["block_no"]] = r["n"]
+        slots = [(mix, s, j, slot) for mix, own in sizes.items() for (s, j), slot in pfair_slots(own).items()]
+        largest = {mix: max(own.values()) for mix, own in sizes.items()}
+        self.plan = spark.createDataFrame([(*p, largest.get(p[0], 0)) for p in plan], "mix_name string, source string, target_share double, max_repeats int, texts long, supply long, wanted double, block long")
         slots = spark.createDataFrame(slots, "mix_name string, source string, block_no long, slot int")
-        uses = placed.join(F.broadcast(self.plan.where("wanted > 0")), "source")  # as many rows as targets
-        uses = uses.withColumn("use_no", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.col("wanted") / F.col("supply")), F.col("max_repeats")).cast("int") - 1)))
-        uses = uses.withColumn("start", F.col("use_no") * F.col("supply") + F.col("at")).where("start + n_tokens / 2 <= wanted")
-        uses = uses.withColumn("block_no", F.least(F.floor(F.col("start") / F.col("block")), F.ceil(F.col("wanted") / F.col("block") - 1e-9) - 1).cast("long"))
-        self.selection = uses.join(F.broadcast(slots), ["mix_name", "source", "block_no"]).select(  # at most blocks + sources rows a mix
-            "mix_name", "slot", F.col("start").cast("long").alias("start"), "doc_id", "source", (F.col("use_no") + 1).alias("use_no"), "n_tokens"
+        self.selection = chosen.join(F.broadcast(slots), ["mix_name", "source", "block_no"]).select(
+            "mix_name", "slot", "start", "doc_id", "source", (F.col("use_no") + 1).alias("use_no"), "n_tokens"
         )
 
+    @staticmethod
+    def _extra(placed: DataFrame, prefix: DataFrame, todo: DataFrame) -> DataFrame | None:
+        """Texts that fill what the last whole text of each source's order left open, taken from the rest of that round."""
+        spark = placed.sparkSession
+        ends = todo.join(prefix.groupBy("mix_name", "source").agg(F.max(F.col("start") + F.col("n_tokens")).alias("end")), ["mix_name", "source"], "left").na.fill(0, ["end"])
+        ends = [(*r[:2], r["end"] // r["supply"], r["end"] % r["supply"], r["end"], r["wanted"] - r["end"]) for r in ends.collect() if r["wanted"] - r["end"] >= 0.5 and r["end"] // r["supply"] < r["repeats"]]
+        if not ends:
+            return None
+        gaps = spark.createDataFrame(ends, "mix_name string, source string, use_no int, done long, end long, gap double")
+        rest = placed.join(F.broadcast(gaps), ["mix_name", "source"]).where("at >= done and n_tokens < 2 * gap")
+        lengths: dict[tuple[str, str], dict[int, int]] = {}
+        for r in rest.groupBy("mix_name", "source", "n_tokens").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length below twice a text's
+            lengths.setdefault((r["mix_name"], r["source"]), {})[r["n_tokens"]] = r["n"]
+        take = [(e[0], e[1], n, k) for e in ends for n, k in refill(e[5], lengths.get(e[:2], {})).items()]
+        if not take:
+            return None
+        wanted = spark.createDataFrame(take, "mix_name string, source string, n_tokens long, take int")
+        rank = F.row_number().over(Window.partitionBy("mix_name", "source", "n_tokens").orderBy("h", "doc_id"))
+        some = rest.join(F.broadcast(wanted), ["mix_name", "source", "n_tokens"]).withColumn("rn", rank).where(F.col("rn") <= max(k for *_, k in take)).where("rn <= take")
+        before = Window.partitionBy("mix_name", "source").orderBy(F.desc("n_tokens"), "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        return some.withColumn("start", F.col("end") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+    def stocks(self) -> DataFrame:
+        """``mix_name, source, target_share, max_repeats, texts`` of every target: its part of the mix and its distinct texts there."""
+        return self.plan.select("mix_name", "source", "target_share", "max_repeats", "texts")
+
     def shares(self) -> DataFrame:
         """``mix_name, source, target_share, wanted_tokens, tokens, share, docs, most_uses`` of every target, used or not."""
         used = self.selection.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("doc_id").alias("docs"), F.max("use_no").alias("most_uses"))

@@ -73,11 +73,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).stocks().withColumn("target_share", F.round("target_share", 6))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return document_subjects(*[table(spark, d, t) for t in ("documents", "subjects", "doc_subjects")])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_lift, p6_found, p6_neighbours, p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_lift, p6_found, p6_neighbours, p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares, p9_texts, p10_found)}
 
 _TOP = """
 WITH rows AS (SELECT collection, subset, trim(id) AS id, score, coalesce(is_hidden, false) AS hidden, timestamp FROM scores WHERE trim(id) <> ''),
@@ -115,5 +119,13 @@ SELECT k.i AS item_id, class_id, class_size, coalesce(links, 0) AS links FROM k
     "p5_lift": _BASKETS + "SELECT * FROM r",
     "p7_found": _TOP + "SELECT collection, subset, id FROM best WHERE rank <= 10",
     "p7_ranked": _TOP + "SELECT collection, subset, id, score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 10",
+    "p9_texts": r"""
+WITH c AS (SELECT doc_id, text, nullif(regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g'), '') AS source FROM documents WHERE text <> ''),
+t AS (SELECT mix_name, nullif(regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g'), '') AS source, sum(CASE WHEN target_share > 0 AND NOT isnan(target_share) THEN target_share ELSE 0 END) AS share,
+      min(greatest(coalesce(max_repeats, 1), 0)) AS max_repeats FROM mix_targets WHERE mix_name IS NOT NULL AND trim(source) <> '' GROUP BY 1, 2),
+o AS (SELECT mix_name, text, arg_min(c.source, doc_id) AS source FROM c JOIN t ON c.source = t.source AND t.share > 0 GROUP BY 1, 2),
+n AS (SELECT mix_name, source, count(*) AS texts FROM o GROUP BY 1, 2)
+SELECT t.mix_name, t.source, round(t.share / sum(t.share) OVER (PARTITION BY t.mix_name), 6) AS target_share, t.max_repeats, coalesce(n.texts, 0) AS texts
+FROM t LEFT JOIN n ON n.mix_name = t.mix_name AND n.source = t.source""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

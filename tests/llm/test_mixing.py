@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
-from skein.llm.mixing import Mixture, fill, pfair_slots
+from skein.llm.mixing import Mixture, fill, pfair_slots, refill
 
 DOCS = "doc_id long, text string, source string, n_tokens long, slot int, wanted double"
 TARGETS = "mix_name string, source string, target_share double, max_repeats int, size_share double"
@@ -22,21 +23,59 @@ def test_fill():
     assert fill({"a": 0, "b": 1}, {"a": 9, "b": 9}, 4) == {"a": 0, "b": 4} and fill({}, {}, 5) == {}
 
 
-@pytest.mark.parametrize("sizes", [{"a": 500, "b": 300, "c": 199, "d": 1}, {"a": 1000}, {"a": 333.3, "b": 333.3, "c": 333.4}, {f"s{i}": 2.0**i for i in range(10)}])
-def test_pfair_deviates_by_less_than_a_block(sizes):
-    total = sum(sizes.values())
-    block = total / 1000
-    slots = pfair_slots(sizes, block)
-    assert sorted(slots.values()) == list(range(len(slots)))
-    at = {v: s for (s, _), v in slots.items()}
-    seen = Counter()
-    for t in range(len(at)):
-        seen[at[t]] += 1
-        for s, size in sizes.items():
-            if seen[s] < math.ceil(size / block - 1e-9):
-                assert abs(seen[s] - (t + 1) * size / total) < 1 + 1e-6
-    for s, size in sizes.items():
-        assert [j for (x, j), _ in sorted(slots.items(), key=lambda kv: kv[1]) if x == s] == list(range(math.ceil(size / block - 1e-9)))
+def furthest(rows):
+    """The furthest that a source of ``(source, tokens)``, in order, ever is from its share of the tokens so far."""
+    totals = Counter()
+    for s, n in rows:
+        totals[s] += n
+    whole, seen, out, worst = sum(totals.values()), Counter(), 0, 0.0
+    for s, n in rows:
+        seen[s] += n
+        out += n
+        worst = max([worst, *(abs(seen[x] - out * t / whole) for x, t in totals.items())])
+    return worst
+
+
+@pytest.mark.parametrize("counts", [{"a": 500, "b": 300, "c": 199, "d": 1}, {"a": 1000}, {"a": 333, "b": 333, "c": 334}, {f"s{i}": 2**i for i in range(10)}])
+@pytest.mark.parametrize("longest", [1, 7, 400])
+def test_pfair_deviates_by_a_block_at_most(counts, longest):
+    rng = random.Random(longest)
+    blocks = {(s, 3 * j): rng.randint(1, longest) for s, n in counts.items() for j in range(n)}
+    slots = pfair_slots(blocks)
+    assert sorted(slots.values()) == list(range(len(blocks))) and slots.keys() == blocks.keys()
+    order = sorted(slots, key=slots.get)
+    assert furthest([(k[0], blocks[k]) for k in order]) <= max(blocks.values()) + 1e-6
+    for s in counts:
+        own = [j for x, j in order if x == s]
+        assert own == sorted(own)
+
+
+def test_refill():
+    assert refill(10, {4: 1, 3: 1, 20: 5}) == {4: 1, 3: 1} and refill(10, {4: 9}) == {4: 2} and refill(11.9, {4: 9}) == {4: 3}
+    assert refill(7, {10: 1}) == {10: 1} and refill(4, {10: 1}) == {} and refill(5, {}) == {}
+
+
+def test_a_text_of_two_sources_belongs_to_each_mix_that_names_one(spark):
+    data = [(i, f"shared text of number {i}", "a") for i in range(50)] + [(100 + i, f"shared text of number {i}", "b") for i in range(50)] + [(999, "one more here", "b")]
+    targets = [("m1", "a", 1.0, 1, 0.4), ("m1", "b", 1.0, 1, 0.4), ("m2", "b", 1.0, 1, 0.4), ("m3", "b", 1.0, 1, 0.4), ("m3", "a", 0.0, 1, 0.4)]
+    mix = Mixture(docs(spark, data), spark.createDataFrame(targets, TARGETS))
+    texts = {(r["mix_name"], r["source"]): r["texts"] for r in mix.stocks().collect()}
+    assert texts == {("m1", "a"): 50, ("m1", "b"): 1, ("m2", "b"): 51, ("m3", "b"): 51, ("m3", "a"): 0}
+    for r in mix.shares().where("mix_name <> 'm1' and source = 'b'").collect():
+        assert r["docs"] > 30 and abs(r["tokens"] - r["wanted_tokens"]) <= 5
+
+
+def test_long_texts_leave_no_gap_and_blocks_keep_their_bound(spark):
+    rng = random.Random(4)
+    words = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(400 if rng.random() < 0.02 else rng.randint(2, 30)))
+    data = [(i, words(), rng.choice("aaaaaabbc")) for i in range(1500)]
+    targets = [("m", "a", 5.0, 1, 0.5), ("m", "b", 4.0, 2, 0.5), ("m", "c", 1.0, 1, 0.5)]
+    mix = Mixture(docs(spark, data), spark.createDataFrame(targets, TARGETS))
+    for r in mix.shares().collect():
+        assert abs(r["tokens"] - r["wanted_tokens"]) <= 10
+    rows = [(r["source"], r["n_tokens"]) for r in mix.selection.orderBy("slot", "start").collect()]
+    assert furthest(rows) <= mix.plan.first()["block"]
+    assert all(n == 1 for (d, u), n in Counter((r["doc_id"], r["use_no"]) for r in mix.selection.collect()).items())
 
 
 def test_mix(spark):
@@ -56,14 +95,9 @@ def test_mix(spark):
     assert max(v for (m, d), v in uses.items() if m == "z") == 3
     assert len({d for _, d in uses if 2000 <= d < 2005}) == 1 and not {3000, 3001, 3002, 3003} & {d for _, d in uses}
     assert math.isclose(got["z", "small_src"], 3 * plan["z", "small_src"]["supply"])
-    block = plan["m", "large"]["block"]
-    total, share = sum(n for (m, _), n in got.items() if m == "m"), {s: plan["m", s]["wanted"] for s in ("large", "small_src")}
-    seen, filled = Counter(), 0
-    for r in sorted((r for r in rows if r["mix_name"] == "m"), key=lambda r: (r["slot"], r["start"])):
-        seen[r["source"]] += r["n_tokens"]
-        filled += r["n_tokens"]
-        for s in share:
-            assert abs(seen[s] - filled * share[s] / sum(share.values())) < 2 * block + 20
+    total = sum(n for (m, _), n in got.items() if m == "m")
+    ordered = sorted((r for r in rows if r["mix_name"] == "m"), key=lambda r: (r["slot"], r["start"]))
+    assert furthest([(r["source"], r["n_tokens"]) for r in ordered]) <= plan["m", "large"]["block"]
     shares = {(r["mix_name"], r["source"]): r for r in mix.shares().collect()}
     assert shares["m", "absent"]["tokens"] == 0 and math.isclose(sum(r["share"] for (m, _), r in shares.items() if m == "m"), 1) and shares["m", "large"]["tokens"] == got["m", "large"] and total
 
