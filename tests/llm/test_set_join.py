@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 
+from skein.llm import set_join
 from skein.llm.set_join import Segments, item_classes, similar_items, similar_sets
 
 ITEMS = "item_id string, categories array<string>, labels struct<tags: array<string>>, rep string, n int, terms string"
@@ -67,3 +69,41 @@ def test_bound_is_the_largest_difference():
         for b in range(a, s.longest(a) + 1):
             possible = [a + b - 2 * c for c in range(a + 1) if 5 * c >= 3 * (a + b - c)]
             assert s.bound(a, b) == max(possible)
+
+
+def test_long_sets_beside_short_ones(spark):
+    """Sets of about 300 tokens, some differing by just as much as allowed, in pieces of classes of 7 members."""
+    rnd = random.Random(9)
+    universe = [f"u{k}" for k in range(4000)]
+    data = []
+    for k in range(12):
+        base = rnd.sample(universe, rnd.randint(4, 330))
+        data.append((f"i{k:02d}", base, None))
+        rest = [w for w in universe if w not in set(base)]
+        for share in (0.1, 0.24, 0.25, 0.26, 0.4):
+            gone = int(len(base) * share)
+            data.append((f"i{k:02d}x{share}", base[gone:] + rnd.sample(rest, gone), None))
+            data.append((f"i{k:02d}y{share}", base[int(gone * 1.6) :], None))
+    data += [(f"c{k:02d}", data[0][1], None) for k in range(20)]
+    want = brute(data)
+    assert len(want) > 300 and {tuple(r) for r in similar_items(frame(spark, data)).collect()} == want
+
+
+def test_pieces(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "PIECE_ROWS", 3)
+    data = [(f"a{k}", list("pqrs"), None) for k in range(11)] + [(f"b{k}", list("pqrst"), None) for k in range(8)]
+    got = [tuple(r) for r in similar_items(frame(spark, data)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(data)
+
+
+def test_signatures_grow_with_the_size():
+    rng = np.random.default_rng(0)
+    s = Segments(3, 5, 4, 10_000, {}, set())
+    for size in (20, 60, 200, 400):
+        tokens = np.stack([rng.choice(2**40, size, replace=False) for _ in range(3)]).astype(np.int64)
+        made = sum(len(r) for r, _ in s.asked(tokens)) + sum(len(r) for r, _ in s.given(tokens))
+        assert made / 3 < 12 * size, (size, made / 3)
+        low, high = set_join._sketch(np.sort(tokens, axis=1))
+        for i, j in itertools.combinations(range(3), 2):
+            apart = bin(int(low[i] ^ low[j]) & (2**64 - 1)).count("1") + bin(int(high[i] ^ high[j]) & (2**64 - 1)).count("1")
+            assert apart <= len(set(tokens[i]) ^ set(tokens[j]))
