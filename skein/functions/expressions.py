@@ -32,7 +32,8 @@ class Value:
 class Compiler:
     """``item`` columns keep their names; ``feedback`` columns have the prefix ``fb_``; a feedback row exists where ``fb_item_id`` isn't null."""
 
-    def __init__(self, as_of: str, grouped: bool = True, prefix: str = "fb_"):
+    def __init__(self, as_of: str, grouped: bool = False, prefix: str = "fb_"):
+        """``grouped``: the expression is an aggregate over an item's feedback, in whose rows its own fields are the same."""
         self.as_of, self.grouped, self.prefix = as_of, grouped, prefix
 
     def compile(self, text: str) -> Column:
@@ -133,7 +134,7 @@ class Compiler:
         if not names:
             raise ValueError("a field is expected")
         base = (self.prefix if inner else "") + FIELDS.get(names[0], names[0])
-        column = F.col(base)
+        column = F.any_value(F.col(base)) if self.grouped and not self.inner else F.col(base)
         for n in names[1:]:
             column = column.getField(n)
         return Value(_micros(column), True) if names[-1] in ("Timestamp", "Updated") else Value(column)

@@ -107,6 +107,12 @@ def predict(pairs: DataFrame, factors: DataFrame) -> DataFrame:
     return rows.select("user_id", "item_id", F.coalesce(dot(F.col("p"), F.col("q")), F.lit(0.0)).alias("score"))
 
 
+def predictable(ids: DataFrame, interactions: DataFrame, key: str) -> DataFrame:
+    """``key, predictable``: whether an id has training feedback, without which its factors mean nothing (MD4)."""
+    known = interactions.select(key).distinct().withColumn("_k", F.lit(True))
+    return ids.select(key).join(known, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("predictable"))
+
+
 def early_stopped(step: Callable[[int], float], epochs: int, patience: int) -> tuple[int, float]:
     """Run ``step(epoch)``, which gives a score, until the best is ``patience`` epochs old (MD5)."""
     best, at = -np.inf, 0

@@ -94,25 +94,57 @@ class AttentiveMachine:
             losses.append(total / len(order))
         return losses
 
-    def transform(self, df: DataFrame, width: int) -> DataFrame:
-        """``df`` (``user_id, item_id, pairs``) with ``score``, by Arrow batches; the model goes along as one broadcast."""
-        sent = df.sparkSession.sparkContext.broadcast([p.data for p in (self.b, self.w, self.v)])
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` (``user_id, item_id, pairs``) with ``score``, by Arrow batches; the model goes along as one broadcast.
+
+        A model with attention needs the column ``embeddings``, a list of vectors for each row; a row without any gets
+        no such term. Rows are padded to the longest of their batch, none is cut.
+        """
+        wide = self.attention is not None
+        if wide and "embeddings" not in df.columns:
+            raise ValueError("the model was made for embeddings, and there is no such column")
+        sent = df.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b, w, v = sent.value
             for batch in batches:
-                at, value = padded(batch["pairs"], width)
-                vx = v[at] * value[:, :, None]
-                total = vx.sum(axis=1)
-                logit = b + (w[at][:, :, 0] * value).sum(axis=1) + 0.5 * ((total**2).sum(axis=1) - (vx**2).sum(axis=(1, 2)))
-                yield pd.DataFrame({"user_id": batch["user_id"], "item_id": batch["item_id"], "score": logit.astype(float)})
+                score = sent.value.scores(batch["pairs"], batch["embeddings"] if wide else None)
+                yield pd.DataFrame({"user_id": batch["user_id"], "item_id": batch["item_id"], "score": score})
+
+        columns = ["user_id", "item_id", "pairs", *(["embeddings"] if wide else [])]
+        return df.select(*columns).mapInPandas(run, "user_id string, item_id string, score double")
+
+    def scores(self, pairs, embeddings=None) -> np.ndarray:
+        """Logits of rows of (position, value) pairs and, where there are, lists of vectors."""
+        at, value = padded(pairs)
+        if embeddings is None:
+            return self(at, value).data.astype(float)
+        counts = np.array([0 if e is None else len(e) for e in embeddings])
+        out = np.zeros(len(counts))
+        for n in np.unique(counts):  # rows with as many vectors go together, as attention weighs a row's own ones
+            r = np.flatnonzero(counts == n)
+            some = np.array([[list(v) for v in embeddings.iloc[k]] for k in r], np.float32) if n else None
+            out[r] = self(at[r], value[r], some).data
+        return out
+
+    def save(self, path: str) -> None:
+        """Every parameter as an array of one file (MD14)."""
+        attends = self.attention is not None
+        np.savez(path, dims=self.w.data.shape[0], factors=self.v.data.shape[1], embedding=self.linear.parameters()[0].data.shape[0] if attends else 0, **{f"p{i}": p.data for i, p in enumerate(self.parameters())})
 
-        return df.select("user_id", "item_id", "pairs").mapInPandas(run, "user_id string, item_id string, score double")
+    @classmethod
+    def load(cls, path: str) -> AttentiveMachine:
+        with np.load(path) as held:
+            made = cls(int(held["dims"]), int(held["factors"]), int(held["embedding"]))
+            for i, p in enumerate(made.parameters()):
+                p.data = held[f"p{i}"]
+        return made
 
 
-def padded(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
+def padded(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of all pairs, rows filled up with position 0 and value 0 to the longest."""
+    width = max(1, max(map(len, rows), default=1))
     at, value = np.zeros((len(rows), width), np.int64), np.zeros((len(rows), width), np.float32)
     for k, pairs in enumerate(rows):
-        for j, p in enumerate(pairs[:width]):
+        for j, p in enumerate(pairs):
             at[k, j], value[k, j] = p["i"], p["w"]
     return at, value

@@ -67,6 +67,22 @@ def set_values(meta: DataFrame, batch: DataFrame, order: list[Column]) -> DataFr
     return meta.join(new.select("name"), "name", "left_anti").unionByName(new.select("name", "value"))
 
 
+def scan_scores(scores: DataFrame) -> DataFrame:
+    """Every document's key and time, whichever its list (CA5)."""
+    return scores.select(*SCORE_KEY, "timestamp")
+
+
+def get_value(meta: DataFrame, name: str) -> str | None:
+    """A name's value, or None (CA6)."""
+    row = meta.where(F.col("name") == name).first()
+    return None if row is None else row["value"]
+
+
+def delete_value(meta: DataFrame, name: str) -> DataFrame:
+    """The values without a name's; an unknown name changes nothing (CA6)."""
+    return meta.where(~F.col("name").eqNullSafe(F.lit(name)))
+
+
 def push(queue: DataFrame, batch: DataFrame) -> DataFrame:
     """``name, value, timestamp`` of distinct values; pushing again refreshes the time (CA7)."""
     return queue.unionByName(batch).groupBy("name", "value").agg(F.max("timestamp").alias("timestamp"))
@@ -103,6 +119,12 @@ def bucket_points(points: DataFrame, name: str | None, begin: str, end: str, sec
     return rows.groupBy("name", start.alias("bucket")).agg(F.max(F.struct("timestamp", "value")).getField("value").alias("value")).select("name", F.col("bucket").alias("timestamp"), "value")
 
 
+def recent_points(points: DataFrame, name: str | None, as_of: str, days: int = 7, seconds: int = 86_400) -> DataFrame:
+    """A dashboard's time series of the last ``days`` (QP5)."""
+    begin = points.sparkSession.range(1).select((F.lit(as_of).cast("timestamp_ntz") - F.expr(f"make_dt_interval({days})")).cast("string")).first()[0]
+    return bucket_points(points, name, begin, as_of, seconds)
+
+
 def key(*parts: str | Column) -> Column:
     """Parts joined by a slash, empty ones left out (CA10)."""
     return F.concat_ws("/", *[F.nullif(p if isinstance(p, Column) else F.lit(p), F.lit("")) for p in parts])
@@ -142,6 +164,11 @@ def stale_recommendation(size: Column, digest: Column, wanted: str, updated: Col
     )
 
 
+def digests(parts: Column) -> Column:
+    """``digest`` of an array column (CA16)."""
+    return F.md5(F.concat_ws("", F.array_sort(parts)))
+
+
 def digest(*parts: str) -> str:
     """MD5 of the sorted parts (CA16)."""
     return hashlib.md5("".join(sorted(parts)).encode()).hexdigest()

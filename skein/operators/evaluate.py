@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.predicates import matches
@@ -98,10 +98,20 @@ def online_ratio(feedback: DataFrame, read: list[str], positive: list[str], as_o
     return ratio.groupBy("day", "feedback_type").agg(F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("reads")), 6).alias("ratio"))
 
 
-def leave_one_out(positives: DataFrame, seed: int = 0) -> DataFrame:
-    """``positives`` with ``is_test``: one positive of each user, drawn by a hash of the seed and the item (WN9)."""
-    w = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "user_id", "item_id"), "item_id")
-    return positives.withColumn("is_test", F.row_number().over(w) == 1)
+def drawn(seed: int, *keys: str) -> Column:
+    """A draw for each row: the MD5 of the seed and the keys, in which any SQL can order rows alike."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *keys))
+
+
+def leave_one_out(positives: DataFrame, seed: int = 0, test_users: int = 0) -> DataFrame:
+    """``positives`` with ``is_test``: one positive of each user, drawn by seed, user and item (WN9).
+
+    With ``test_users`` above 0 only so many users, drawn alike, have a test row; the others only train.
+    """
+    least = positives.groupBy("user_id").agg(F.min(F.struct(drawn(seed, "user_id", "item_id").alias("d"), "item_id")).getField("item_id").alias("_test"))
+    if test_users > 0:
+        least = least.orderBy(drawn(seed, "user_id"), "user_id").limit(test_users)
+    return positives.join(least, "user_id", "left").withColumn("is_test", F.coalesce(F.col("item_id") == F.col("_test"), F.lit(False))).select(*positives.columns, "is_test")
 
 
 def latest_split(positives: DataFrame, shots: int) -> DataFrame:
@@ -112,12 +122,12 @@ def latest_split(positives: DataFrame, shots: int) -> DataFrame:
 
 
 def random_split(samples: DataFrame, ratio: float = 0.2, seed: int = 0, keys: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
-    """``samples`` with ``is_test``: the ``int(n * ratio)`` rows of the least hashes (WN11). Rows of equal keys stay together.
+    """``samples`` with ``is_test``: the ``int(n * ratio)`` rows of the least draws (WN11). Rows of equal keys stay together.
 
-    Counts by the hash's upper 16 bits tell in which slice of the hashes the bound lies; only that slice is sorted.
+    Counts by a draw's first four digits tell in which slice of the draws the bound lies; only that slice is sorted.
     """
-    hashed = samples.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    piece = F.shiftright("_h", 48)
+    hashed = samples.withColumn("_h", drawn(seed, *keys))
+    piece = F.substring("_h", 1, 4)
     counts = hashed.groupBy(piece.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()  # at most 65,536
     left = int(sum(r["n"] for r in counts) * ratio)
     if left <= 0:
@@ -131,12 +141,18 @@ def random_split(samples: DataFrame, ratio: float = 0.2, seed: int = 0, keys: tu
 
 
 def split_by_user_time(samples: DataFrame, ratio: float = 0.2) -> DataFrame:
-    """``samples`` with ``is_test``: of each user the last ``int(n * ratio)`` by time, at least 1 of more than one, never all (WN12)."""
+    """``samples`` with ``is_test``: of each user the last ``int(n * ratio)`` by time, at least 1 of more than one, never all (WN12).
+
+    Counts by user and day tell how many rows of each day are test rows, so rows are ranked within a day only.
+    """
+    dated = samples.withColumn("_day", F.coalesce(F.unix_date(F.to_date("timestamp")), F.lit(-(1 << 31))))
+    days = dated.groupBy("user_id", "_day").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy("user_id")
-    n = F.count(F.lit(1)).over(w)
-    back = F.row_number().over(w.orderBy(F.desc("timestamp"), F.desc("item_id")))
+    n = F.sum("_c").over(w)
     take = F.when(n > 1, F.least(F.greatest(F.floor(n * F.lit(ratio)), F.lit(1)), n - 1)).otherwise(0)
-    return samples.withColumn("is_test", back <= take)
+    days = days.select("user_id", "_day", (take - (F.sum("_c").over(w.orderBy(F.desc("_day"))) - F.col("_c"))).alias("_left"))
+    back = F.row_number().over(Window.partitionBy("user_id", "_day").orderBy(F.desc("timestamp"), F.desc("item_id")))
+    return dated.join(days, ["user_id", "_day"]).withColumn("is_test", back <= F.col("_left")).select(*samples.columns, "is_test")
 
 
 def sample_negatives(users: DataFrame, items: DataFrame, known: DataFrame, n: int, seed: int = 0) -> DataFrame:

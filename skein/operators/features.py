@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.lineage import Scratch
+
 LEAST_IDF = 1e-3
+RANGES = 64  # into which a feature's distinct values are cut
 
 
 def idf(tokens: DataFrame, total: int) -> DataFrame:
@@ -31,11 +34,17 @@ def dictionary(values: DataFrame, column: str) -> DataFrame:
 def robust_fit(df: DataFrame, key: str, value: str) -> DataFrame:
     """``key, median, q1, q3, iqr`` of each feature: quartiles are the values at index n/4 and 3n/4, median the middle one or the mean of the two, an iqr of 0 is 1 (AG15).
 
-    Equal values are counted first, so ranks come from counts of distinct values and a feature's rows are never listed.
+    Equal values are counted first; each feature's distinct values are then cut into ranges of about equal size, so
+    neither its rows nor all its values are ever one task's.
     """
-    tallied = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("key").orderBy("x")
-    ranked = tallied.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("key")))
+    scratch = Scratch(df.sparkSession, "robust")
+    tallied = scratch.cut(df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c")))
+    edges = scratch.cut(tallied.groupBy("key").agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges")))
+    ranged = tallied.join(edges, "key").select("key", "x", "c", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("range"))
+    sums = ranged.groupBy("key", "range").agg(F.sum("c").alias("size"))
+    w = Window.partitionBy("key")
+    sums = sums.select("key", "range", (F.sum("size").over(w.orderBy("range")) - F.col("size")).alias("ahead"), F.sum("size").over(w).alias("n"))
+    ranked = ranged.join(sums, ["key", "range"]).withColumn("upto", F.col("ahead") + F.sum("c").over(Window.partitionBy("key", "range").orderBy("x")))
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
     fitted = ranked.groupBy("key").agg(
         at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(3 * F.col("n") / 4)).alias("q3"), at(F.floor(F.col("n") / 2)).alias("m1"), at(F.floor((F.col("n") - 1) / 2)).alias("m0")

@@ -51,3 +51,18 @@ def dominant_keys(df: DataFrame, fields: list[str], share: float) -> DataFrame:
         every = every.unionByName(more)
     # a product that rounding raised above a whole number must not lose the key at the edge
     return every.where(F.col("n_rows") >= share * total * (1 - 1e-12)).select("field", "key_id")
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", share: float = 0.01, salts: int = 32) -> DataFrame:
+    """``big`` joined on ``key`` with ``small``, which has few rows for each key, without a task for all rows of a heavy key.
+
+    Rows of heavy keys get a salt from their own content, and those of ``small`` are repeated for each salt. ``how`` is
+    inner or left; repeated rows count each time, null keys match nothing.
+    """
+    heavy = heavy_keys(big.select(F.col(key).alias("key_id")).where("key_id is not null"), share)
+    if not heavy:
+        return big.join(small, key, how)
+    hot = F.col(key).isin(heavy)
+    salt = F.when(hot, F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(salts))).otherwise(0).cast("int")
+    every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    return big.withColumn("_salt", salt).join(small.select("*", every), [key, "_salt"], how).drop("_salt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ def positives(classified: DataFrame) -> DataFrame:
     return classified.where("kind = 'positive'")
 
 
+def not_positive(classified: DataFrame) -> DataFrame:
+    """Pairs of known users and items with feedback but none that is positive (SE2)."""
+    return classified.where("kind <> 'positive'").select("user_id", "item_id")
+
+
 def frequency(classified: DataFrame, key: str) -> DataFrame:
     """Positive feedback rows per user or item; several types on one pair count each (AG3)."""
     return positives(classified).groupBy(key).agg(F.sum("n_positive").alias("freq"))
@@ -79,11 +85,12 @@ def category_counts(items: DataFrame) -> DataFrame:
     return items.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def statistics(users: DataFrame, items: DataFrame, classified: DataFrame) -> DataFrame:
-    """``name, n``: users, items, pairs by kind (AG9)."""
+def statistics(users: DataFrame, items: DataFrame, classified: DataFrame, **labels: DataFrame) -> DataFrame:
+    """``name, n``: users, items, pairs by kind, and distinct labels of each table of ``labels`` (``label``) under its name (AG9)."""
     parts = [users.agg(F.count(F.lit(1)).alias("n")).select(F.lit("users").alias("name"), "n"), items.agg(F.count(F.lit(1)).alias("n")).select(F.lit("items").alias("name"), "n")]
     parts.append(classified.groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts += [df.agg(F.count_distinct("label").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in labels.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def activity(owners: DataFrame, classified: DataFrame, key: str) -> DataFrame:
@@ -97,6 +104,11 @@ def exclude(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti").select(*candidates.columns)
 
 
+def exclude_all(candidates: DataFrame, *sets: DataFrame) -> DataFrame:
+    """Candidates without the pairs of any of the sets, by one anti-join with their union (SE4)."""
+    return exclude(candidates, reduce(DataFrame.unionByName, [s.select("user_id", "item_id") for s in sets]))
+
+
 def last_modified(merged: DataFrame, key: str) -> DataFrame:
     """The latest update per user or item (ST7)."""
     return merged.groupBy(key).agg(F.max("updated").alias("last_modified"))
@@ -114,7 +126,25 @@ def by_item_ranges(feedback: DataFrame, n: int) -> DataFrame:
 
 
 def item_histories(classified: DataFrame, n: int) -> DataFrame:
-    """The ``n`` latest positive users of each item, newest first (JN11, JN12); never the whole of a hot item."""
+    """The ``n`` latest positive users of each item, newest first (JN11); never the whole of a hot item."""
     w = Window.partitionBy("item_id").orderBy(F.desc("timestamp"), "user_id")
     rows = positives(classified).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
     return rows.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "user_id"))), lambda x: x["user_id"]).alias("users"))
+
+
+def prompt_contexts(merged: DataFrame, items: DataFrame, as_of: str, n: int, types: Types = Types()) -> DataFrame:
+    """``user_id, place, feedback_type`` and the item's row: a user's ``n`` latest positive feedback with its items (JN12).
+
+    Newest first, then by item and type; feedback on unknown items counts among the ``n`` but has no row.
+    """
+    rows = merged.where(known_by(F.col("timestamp"), as_of) & matches(list(types.positive))).select("user_id", "item_id", "feedback_type", F.col("timestamp").alias("_at"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("_at"), "item_id", "feedback_type")
+    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("_at")
+    return rows.join(items, "item_id").select("user_id", "place", "feedback_type", *items.columns)
+
+
+def busy_users(merged: DataFrame, as_of: str, rows: int, value: float) -> DataFrame:
+    """``user_id, feedback_type, total`` of at least so many rows and so great a sum of values up to ``as_of`` (AG2)."""
+    known = merged.where(known_by(F.col("timestamp"), as_of))
+    sums = known.groupBy("user_id", "feedback_type").agg(F.sum(F.round("value", 2)).alias("total"), F.count(F.lit(1)).alias("n"))
+    return sums.where((F.col("n") >= rows) & (F.col("total") >= value)).select("user_id", "feedback_type", "total")

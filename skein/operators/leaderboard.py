@@ -6,35 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.expressions import Compiler, checked
+from skein.operators.hot_keys import salted_join
 
 
 def scored_items(items: DataFrame, feedback: DataFrame, as_of: str, score: str, filter: str | None = None) -> DataFrame:
     """Visible items with ``score`` over their feedback; items without feedback have an empty list (AG11).
 
-    The feedback side is shuffled once by item and aggregated with map-side combining; ``score`` and ``filter`` become
-    plain aggregates. Null and NaN scores leave.
+    ``score`` and ``filter`` become plain aggregates of feedback joined with items. Feedback of a heavy item is salted
+    for the join and combined there before it is shuffled by item. Null and NaN scores leave.
     """
-    compiler = Compiler(as_of)
-    fb = feedback.select(*[F.col(c).alias(f"fb_{c}") for c in feedback.columns])
-    joined = items.where(~F.col("is_hidden")).join(fb, F.col("item_id") == F.col("fb_item_id"), "left")
+    compiler = Compiler(as_of, grouped=True)
+    fb = feedback.select("item_id", *[F.col(c).alias(f"fb_{c}") for c in feedback.columns])
+    shown = items.where(~F.col("is_hidden"))
+    met = salted_join(fb, shown, "item_id")
+    # an item that no feedback meets has one row without any
+    bare = shown.join(feedback.select("item_id").distinct(), "item_id", "left_anti")
+    joined = met.unionByName(bare, allowMissingColumns=True)
     others = [c for c in items.columns if c != "item_id"]
     first = [F.any_value(c).alias(c) for c in others]
-    value = _aggregate(compiler, score, joined, items.columns)
-    test = _aggregate(compiler, filter, joined, items.columns) if filter else F.lit(True)
+    value = compiler.compile(score)
+    test = compiler.compile(filter) if filter else F.lit(True)
     made = joined.groupBy("item_id").agg(*first, value.alias("score"), test.alias("_keep"))
     checked(made, F.col("_keep"), "boolean")
     scored = made.withColumn("score", checked(made, F.col("score"), "number").cast("double"))
     return scored.where("_keep and score is not null and not isnan(score)").drop("_keep")
 
 
-def _aggregate(compiler: Compiler, text: str, joined: DataFrame, own: list[str]):
-    """The compiled expression as an aggregate: item columns are the same in all rows of a group."""
-    column = compiler.compile(text)
-    if "feedback" in text:
-        return column
-    return F.any_value(column)
-
-
 def top_by_category(scored: DataFrame, n: int) -> DataFrame:
     """``category, item_id, score, rank``: the ``n`` best of each category and of all, which is the category "" (WN4)."""
     lists = F.explode(F.array_union(F.array(F.lit("")), F.col("categories"))).alias("category")
@@ -52,8 +49,9 @@ def popular(items: DataFrame, feedback: DataFrame, as_of: str, n: int, score: st
     return regrouped(top_by_category(scored_items(items, feedback, as_of, score, filter), n))
 
 
-def latest(items: DataFrame, n: int) -> DataFrame:
-    """``item_id, score``: the newest visible items, scored by epoch seconds (RC1)."""
-    rows = items.where(~F.col("is_hidden") & F.col("timestamp").isNotNull()).orderBy(F.desc("timestamp"), "item_id").limit(n)
+def latest(items: DataFrame, n: int | None = None) -> DataFrame:
+    """``item_id, score``: the newest visible items, scored by epoch seconds, all of them without ``n`` (RC1)."""
+    rows = items.where(~F.col("is_hidden") & F.col("timestamp").isNotNull())
+    rows = rows if n is None else rows.orderBy(F.desc("timestamp"), "item_id").limit(n)
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("second", "timestamp").cast("timestamp_ntz"))
     return rows.select("item_id", seconds.cast("double").alias("score"))

@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_THINK = re.compile(r"<think>.*?</think>", re.S)
-_FENCE = re.compile(r"```(\w*)\n(.*?)```", re.S)
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^\n`]*)\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 
 
 def rank_by_score(candidates: DataFrame, score: DataFrame) -> DataFrame:
@@ -36,19 +35,36 @@ def rank_by_client(prompts: DataFrame, rerank: Callable[[str, list[str]], list[t
 
 
 def parse_completion(text: str) -> list[str]:
-    """Names in an answer: a fenced JSON array, the first column of fenced CSV, else its lines; thoughts are left out (RC20)."""
-    text = _THINK.sub("", text).strip()
-    m = _FENCE.search(text)
-    if m and m.group(1).lower() == "json":
-        try:
-            found = json.loads(m.group(2))
-            return [str(x) for x in found] if isinstance(found, list) else []
-        except ValueError:
-            return []
-    if m and m.group(1).lower() == "csv":
-        return [line.split(",")[0].strip().strip('"') for line in m.group(2).splitlines() if line.strip()]
-    body = m.group(2) if m else text
-    return [line.strip() for line in body.splitlines() if line.strip()]
+    """Names in an answer (RC20). A thought that begins it is left out.
+
+    The first fenced block marked ``json`` or ``csv`` counts: of a JSON array its strings, and its other elements as
+    JSON text; anything else marked ``json``, also what can't be parsed, as it stands; of CSV the first column, without
+    blanks. Without such a block the answer's lines count, trimmed and without blank ones.
+    """
+    if text.startswith("<think>") and "</think>" in text:
+        text = text.split("</think>", 1)[1]
+    for m in _FENCE.finditer(text):
+        kind, body = (m.group(2).split() or [""])[0], m.group(3)
+        if kind == "json":
+            if not body.startswith("["):
+                return [body] if body else []
+            try:
+                return [x if isinstance(x, str) else json.dumps(_whole(x), separators=(",", ":"), sort_keys=True, ensure_ascii=False) for x in json.loads(body)]
+            except ValueError:
+                return [body]
+        if kind == "csv":
+            first = [line.split(",")[0].strip() for line in body.split("\n")]
+            return [x for x in first if x]
+    return [line.strip() for line in text.split("\n") if line.strip()]
+
+
+def _whole(value: object) -> object:
+    """Numbers without a fraction as whole ones, at any depth."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return int(value)
+    if isinstance(value, list):
+        return [_whole(v) for v in value]
+    return {k: _whole(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
 def render(template: str, **values: object) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.predicates import fresh, has_all, visible
+from skein.lineage import Scratch
 from skein.operators.interactions import exclude
 
 
@@ -16,11 +17,16 @@ def _top(rows: DataFrame, n: int, owner: str = "user_id", item: str = "item_id")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def latest_positives(positives: DataFrame, n: int) -> DataFrame:
+    """The ``n`` latest positives of each user, of one time the smaller item first (WN6, WN7)."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), "item_id")
+    return positives.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def item_to_item_candidates(positives: DataFrame, neighbours: DataFrame, n: int, context: int | None = None, seen: DataFrame | None = None) -> DataFrame:
     """``user_id, item_id, score, rank``: neighbours of a user's positives, scores summed (JN5, RC15). ``context`` keeps the latest positives only (WN7)."""
     if context is not None:
-        w = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), "item_id")
-        positives = positives.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= context)
+        positives = latest_positives(positives, context)
     near = neighbours.select(F.col("id").alias("item_id"), "neighbour", "score")
     rows = positives.select("user_id", "item_id").join(near, "item_id").groupBy("user_id", F.col("neighbour").alias("item_id")).agg(F.round(F.sum("score"), 6).alias("score"))
     return _top(exclude(rows, seen) if seen is not None else rows, n)
@@ -107,13 +113,17 @@ def session(recent: DataFrame, neighbours: DataFrame, n: int, context: int, cate
     return _top(rows, n, "session_id")
 
 
-def inner_product_candidates(user_factors: DataFrame, item_factors: DataFrame, n: int, seen: DataFrame, items: DataFrame, blocks: int = 8) -> DataFrame:
-    """``user_id, item_id, score, rank`` by dot product of factors (``id, vector``), in blocks; ``n`` more than the user has seen are searched, then seen, missing and hidden ones go (RC12, JN9)."""
+def inner_product_candidates(user_factors: DataFrame, item_factors: DataFrame, n: int, seen: DataFrame, items: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``user_id, item_id, score, rank`` by dot product of factors (``id, vector``), in blocks (RC12, JN9).
+
+    Each user searches for ``n`` items more than they have seen themselves; then seen, missing and hidden ones go.
+    """
     from skein.operators.similarity import vector_neighbours
 
-    most = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()["m"]
+    counts = seen.select("user_id", "item_id").distinct().groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("more"))
+    asking = user_factors.join(counts, "id", "left").na.fill(0, ["more"])
     good = item_factors.join(items.where(visible()).select(F.col("item_id").alias("id")), "id", "left_semi")
-    near = vector_neighbours(good, n + most, "dot", queries=user_factors, blocks=blocks)
+    near = vector_neighbours(good, n, "dot", queries=asking, blocks=blocks)
     rows = near.select(F.col("id").alias("user_id"), F.col("neighbour").alias("item_id"), (-F.col("distance")).alias("score"))
     return _top(exclude(rows, seen), n)
 
@@ -129,12 +139,32 @@ def search(scores: DataFrame, collection: str, users: DataFrame, read: DataFrame
     return kept.where((F.col("rank") > begin) & (F.col("rank") <= begin + n))
 
 
-def latest_page(board: DataFrame, users: DataFrame, read: DataFrame, begin: int, n: int, depth: int) -> DataFrame:
-    """The newest items without what each user has read, then the offset (QP2); ``depth`` items are looked at."""
-    rows = list_candidates(users, board, depth, read)
-    best = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    ranked = rows.drop("rank").withColumn("rank", F.row_number().over(best))
-    return ranked.where((F.col("rank") > begin) & (F.col("rank") <= begin + n))
+def filled_list(users: DataFrame, board: DataFrame, n: int, seen: DataFrame) -> DataFrame:
+    """``user_id, item_id, score, rank``: the ``n`` first items of ``board`` (``item_id, score``) that each user hasn't seen.
+
+    Users meet the head of the list; those who are still short meet a head four times as long, until the list ends. A
+    user meets more than about four times ``n`` items only for having seen most of them, so rows grow with ``seen``.
+    """
+    scratch = Scratch(users.sparkSession, "filled")
+    size, depth = board.count(), 2 * n
+    todo, done = users.select("user_id").distinct(), []
+    while True:
+        rows = scratch.cut(list_candidates(todo, board, depth, seen).where(F.col("rank") <= n))
+        if depth >= size:
+            done.append(rows)
+            break
+        full = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= n).select("user_id")
+        done.append(rows.join(full, "user_id", "left_semi"))
+        todo = scratch.cut(todo.join(full, "user_id", "left_anti"))
+        if todo.isEmpty():
+            break
+        depth *= 4
+    return reduce(DataFrame.unionByName, done)
+
+
+def latest_page(board: DataFrame, users: DataFrame, read: DataFrame, begin: int, n: int) -> DataFrame:
+    """The newest items without what each user has read, then the offset (QP2)."""
+    return filled_list(users, board, begin + n, read).where(F.col("rank") > begin)
 
 
 def write_back(feedback: DataFrame, served: DataFrame, kind: str, as_of: str, delay_s: int = 0) -> DataFrame:

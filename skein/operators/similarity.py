@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHRINK = 100
+VECTOR_ROWS = 20_000  # vectors of a block
+BLOCK_ROWS = 200_000  # token rows of a block of ids
+CELLS = 4_000_000  # of a product of blocks that are worked on at once
 POSTING = 2000  # a token's posting list is joined in pieces of about so many ids
 
 
@@ -38,60 +41,105 @@ def token_pairs(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.select("a", "b", idf_distance(*[F.col(c) for c in ("common_idf", "common", "idf_a", "idf_b", "size_a", "size_b")]).alias("distance"))
 
 
-def token_neighbours(tokens: DataFrame, weights: DataFrame, n: int, hidden: DataFrame | None = None, block_ids: int = 2000) -> DataFrame:
-    """What ``neighbours(token_pairs(tokens, weights), n, hidden)`` gives, without a table of pairs (RC4, RC5, RC8 to RC11).
+def token_neighbours(tokens: DataFrame, weights: DataFrame, n: int, hidden: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What ``neighbours(token_pairs(tokens, weights), n, hidden)`` gives, without a table of pairs (RC4, RC5, RC8 to RC11)."""
+    return shared_token_neighbours([(tokens, weights)], n, hidden, block_rows)
 
-    Ids are hashed into blocks of about ``block_ids``. Two blocks of token sets meet as a product of sparse matrices in
-    one task, and only the ``n`` best of a block go on: terms that very many ids have cost arithmetic there, not
-    shuffled pairs. The token set of one id must fit a task.
+
+def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hidden: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, neighbour, score, rank``: the ``n`` nearest by the mean distance over ``kinds`` of tokens (RC4 to RC6, RC10).
+
+    Each kind is (``id, token`` distinct, ``token, idf``). Only ids that share a token of some kind are near. Of a
+    kind, ids that share nothing are 1 apart, and 0 if neither has any token of it. Ids are hashed into blocks of about
+    ``block_rows`` token rows; two blocks meet as a product of sparse matrices in one task, and only the ``n`` best of
+    a block go on: terms that very many ids have cost arithmetic there, not shuffled pairs. Where few cells of a
+    product are met only those are listed. The tokens of one id must fit a task.
     """
-    blocks = max(1, -(-tokens.select("id").distinct().count() // block_ids))
-    held = tokens.join(weights.select("token", "idf"), "token").select("id", F.xxhash64("token").alias("token"), "idf", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    held = None
+    for kind, (tokens, weights) in enumerate(kinds):
+        part = tokens.join(weights.select("token", "idf"), "token").select("id", F.lit(kind).alias("kind"), F.xxhash64("token").alias("token"), "idf")
+        held = part if held is None else held.unionByName(part)
+    blocks = max(1, -(-sum(tokens.count() for tokens, _ in kinds) // block_rows))
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = held.select("id", "token", "idf", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    left = held.select("id", "kind", "token", "idf", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
     shown = held if hidden is None else held.join(hidden.select("id").distinct(), "id", "left_anti")
-    right = shown.select("id", "token", "idf", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
+    right = shown.select("id", "kind", "token", "idf", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
+    number = len(kinds)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for part in (group[group["asks"]], group[~group["asks"]]):
-            ids, code = np.unique(part["id"].to_numpy(), return_inverse=True)
-            idf = part["idf"].to_numpy()
-            sides.append((ids, code, part["token"].to_numpy(), idf, np.bincount(code, minlength=len(ids)), np.bincount(code, idf, len(ids))))
-        (a_ids, a, a_tok, a_idf, a_size, a_sum), (b_ids, b, b_tok, _, b_size, b_sum) = sides
-        out = []
-        if len(a_ids) and len(b_ids):
-            order = np.argsort(b_tok, kind="stable")
-            postings, keys = b[order], b_tok[order]
-            first, last = np.searchsorted(keys, a_tok), np.searchsorted(keys, a_tok, side="right")
-            by_id = np.argsort(a, kind="stable")
-            edges = np.searchsorted(a[by_id], np.arange(0, len(a_ids) + 256, 256))
-            for k in range(len(edges) - 1):
-                rows = by_id[edges[k] : edges[k + 1]]
-                if not len(rows):
-                    continue
-                low, high = 256 * k, min(256 * k + 256, len(a_ids))
-                lengths = last[rows] - first[rows]
-                at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[rows], lengths)
-                cell = np.repeat(a[rows] - low, lengths) * len(b_ids) + postings[at]
-                shape = (high - low, len(b_ids))
-                common = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
-                weight = np.bincount(cell, np.repeat(a_idf[rows], lengths), shape[0] * shape[1]).reshape(shape)
-                far = 1 - weight * common / (np.sqrt(a_sum[low:high])[:, None] * np.sqrt(b_sum)[None, :] * (common + SHRINK))
-                equal = (common == a_size[low:high, None]) & (common == b_size[None, :])
-                score = np.where((common > 0) & ~equal & (far > 0), np.round(1 / (1 + far), 6), -1.0)
-                score[a_ids[low:high, None] == b_ids[None, :]] = -1.0
-                top = np.argsort(-score, axis=1, kind="stable")[:, :n]
-                best = np.take_along_axis(score, top, axis=1)
-                r, c = np.nonzero(best > 0)
-                out.append(pd.DataFrame({"id": a_ids[low + r], "neighbour": b_ids[top[r, c]], "score": best[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "score": []}).astype({"id": object, "neighbour": object, "score": float})
+        return _meet(group, number, n)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, score double")
     ranked = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
+class _Side:
+    """One block's ids and, of each kind, its token rows in order of id."""
+
+    def __init__(self, part: pd.DataFrame, kinds: int):
+        self.ids, code = np.unique(part["id"].to_numpy(), return_inverse=True)
+        self.rows, self.size, self.total = [], [], []
+        kind, token, idf = part["kind"].to_numpy(), part["token"].to_numpy(), part["idf"].to_numpy()
+        for k in range(kinds):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(code[own], kind="stable")]
+            self.rows.append((code[own], token[own], idf[own]))
+            self.size.append(np.bincount(code[own], minlength=len(self.ids)))
+            self.total.append(np.bincount(code[own], idf[own], len(self.ids)))
+
+
+def _meet(group: pd.DataFrame, kinds: int, n: int) -> pd.DataFrame:
+    """The ``n`` nearest of one block for each id of the other."""
+    a, b = _Side(group[group["asks"]], kinds), _Side(group[~group["asks"]], kinds)
+    none = pd.DataFrame({"id": [], "neighbour": [], "score": []}).astype({"id": object, "neighbour": object, "score": float})
+    if not len(a.ids) or not len(b.ids):
+        return none
+    postings = []
+    for code, token, _ in b.rows:
+        order = np.argsort(token, kind="stable")
+        postings.append((code[order], token[order]))
+    step = max(1, min(len(a.ids), CELLS // len(b.ids)))
+    out = []
+    for low in range(0, len(a.ids), step):
+        high = min(low + step, len(a.ids))
+        cells, weights = [], []
+        for (code, token, idf), (listed, keys) in zip(a.rows, postings):
+            r = slice(*np.searchsorted(code, [low, high]))
+            first, last = np.searchsorted(keys, token[r]), np.searchsorted(keys, token[r], side="right")
+            lengths = last - first
+            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first, lengths)
+            cells.append(np.repeat(code[r] - low, lengths) * len(b.ids) + listed[at])
+            weights.append(np.repeat(idf[r], lengths))
+        met, place = np.unique(np.concatenate(cells), return_inverse=True) if sum(map(len, cells)) * 8 < (high - low) * len(b.ids) else (None, np.concatenate(cells))
+        total = len(met) if met is not None else (high - low) * len(b.ids)
+        every = met if met is not None else np.arange(total)
+        x, y = every // len(b.ids) + low, every % len(b.ids)
+        near, far, start = np.zeros(total, bool), np.zeros(total), 0
+        for k in range(kinds):
+            own = place[start : start + len(cells[k])]
+            start += len(cells[k])
+            common, weight = np.bincount(own, minlength=total), np.bincount(own, weights[k], total)
+            scale = np.sqrt(a.total[k][x]) * np.sqrt(b.total[k][y]) * (common + SHRINK)
+            apart = np.where(common > 0, 1 - weight * common / np.where(scale > 0, scale, 1), 1.0)
+            sizes = a.size[k][x], b.size[k][y]
+            far += np.where((common == sizes[0]) & (common == sizes[1]), 0.0, apart)
+            near |= common > 0
+        far /= kinds
+        near &= (far > 0) & (a.ids[x] != b.ids[y])
+        score = np.round(1 / (1 + far), 6)
+        if met is None and len(b.ids) > 4 * n:  # only what may be among the n best is sorted
+            best = np.where(near, score, -1.0).reshape(high - low, -1)
+            near &= score >= np.repeat(-np.partition(-best, n - 1, axis=1)[:, n - 1], len(b.ids))
+        x, y, score = x[near], y[near], score[near]
+        order = np.lexsort((y, -score, x))
+        x, y, score = x[order], y[order], score[order]
+        kept = np.arange(len(x)) - np.searchsorted(x, x) < n
+        out.append(pd.DataFrame({"id": a.ids[x[kept]], "neighbour": b.ids[y[kept]], "score": score[kept]}))
+    return pd.concat(out) if out else none
+
+
 def auto_pairs(tag_pairs: DataFrame, user_pairs: DataFrame, tagged: DataFrame, used: DataFrame) -> DataFrame:
     """``a, b, distance``: mean of both distances over pairs near by either (RC6).
 
@@ -119,31 +167,44 @@ def neighbours(pairs: DataFrame, n: int, hidden: DataFrame | None = None) -> Dat
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
-def vector_neighbours(vectors: DataFrame, n: int, metric: str = "euclidean", queries: DataFrame | None = None, hidden: DataFrame | None = None, blocks: int = 8, prune_zero: bool = True) -> DataFrame:
+def _blocks(rows: int) -> int:
+    """Blocks of at most ``VECTOR_ROWS`` vectors, and a few of smaller collections, so that there are tasks for all cores."""
+    return max(1, -(-rows // VECTOR_ROWS), min(3, rows // 1000))
+
+
+def vector_neighbours(vectors: DataFrame, n: int, metric: str = "euclidean", queries: DataFrame | None = None, hidden: DataFrame | None = None, blocks: int | None = None, prune_zero: bool = True) -> DataFrame:
     """``id, neighbour, distance, rank``: exact nearest vectors of each query, in blocks (RC3, RC10, JN8, JN9, AN2, VE3).
 
     ``vectors`` and ``queries`` (default: the same) have ``id, vector`` of one length. Each block of queries meets each
-    block of vectors once, as one matrix product, and only the ``n`` best of a block go on, so what is shuffled grows
-    with queries x blocks and no pair table exists. ``metric`` is euclidean, cosine or dot (largest product first).
-    Distances are rounded to 6 digits before ties are broken by id.
+    block of vectors once, as one matrix product, and only the ``n`` best of a block go on, so no pair table exists.
+    Blocks follow from the numbers of rows. Queries with a column ``more`` get that many neighbours beyond ``n``, each
+    its own number. ``metric`` is euclidean, cosine or dot (largest product first). Distances are rounded to 6 digits
+    before ties are broken by id. Exact search is work in proportion to queries x vectors; beyond some ten million of
+    each use ``hashed_neighbours``.
     """
     ask = vectors if queries is None else queries
     held = vectors if hidden is None else vectors.join(hidden.select("id").distinct(), "id", "left_anti")
-    piece = lambda c: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(c)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = ask.select("id", "vector", piece("i")).select("id", "vector", "i", every.alias("j"), F.lit(True).alias("asks"))
-    right = held.select("id", "vector", piece("j")).select("id", "vector", every.alias("i"), "j", F.lit(False).alias("asks"))
+    more = F.col("more").cast("int") if "more" in ask.columns else F.lit(0)
+    rows = blocks or _blocks(ask.count())
+    cols = blocks or (rows if queries is None and hidden is None else _blocks(held.count()))
+    piece = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = ask.select("id", "vector", more.alias("more"), piece(rows).alias("i"), every(cols).alias("j"), F.lit(True).alias("asks"))
+    right = held.select("id", "vector", F.lit(0).alias("more"), piece(cols).alias("j"), every(rows).alias("i"), F.lit(False).alias("asks")).select(*left.columns)
     same = queries is None or hidden is not None
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        q, x = group[group["asks"]], group[~group["asks"]].sort_values("id")
+        q, x = group[group["asks"]].sort_values("more"), group[~group["asks"]].sort_values("id")
         if not len(q) or not len(x):
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": object, "neighbour": object, "distance": float})
         return _nearest_in_block(q, x, n, metric, same, prune_zero)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, distance double")
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    ranked = found.withColumn("rank", F.row_number().over(best))
+    if "more" not in ask.columns:
+        return ranked.where(F.col("rank") <= n)
+    return ranked.join(ask.select("id", F.col("more").alias("_m")), "id").where(F.col("rank") <= n + F.col("_m")).drop("_m")
 
 
 def hashed_neighbours(vectors: DataFrame, n: int, tables: int = 8, bucket_rows: int = 4000, seed: int = 0, metric: str = "cosine") -> DataFrame:
@@ -212,7 +273,7 @@ def _nearest_in_block(q: pd.DataFrame, x: pd.DataFrame, n: int, metric: str, sam
     number = np.searchsorted(ids, ids)
     for start in range(0, len(q), 512):
         some = q.iloc[start : start + 512]
-        v, own = np.stack(some["vector"]).astype(np.float64), some["id"].to_numpy()
+        v, asking = np.stack(some["vector"]).astype(np.float64), some["id"].to_numpy()
         prod = v @ base.T
         if metric == "euclidean":
             far = np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + square - 2 * prod))
@@ -224,18 +285,24 @@ def _nearest_in_block(q: pd.DataFrame, x: pd.DataFrame, n: int, metric: str, sam
         if prune_zero and metric != "dot":
             far[far * 1e6 <= 0.5] = np.inf  # 0 when rounded
         if same:
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            mine = np.where(ids[at] == own, number[at], -1)
+            at = np.minimum(np.searchsorted(ids, asking), len(ids) - 1)
+            mine = np.where(ids[at] == asking, number[at], -1)
             far[mine[:, None] == number[None, :]] = np.inf
-        # all that may be among the n nearest once rounded; only these are sorted
-        cut = np.partition(far, n - 1, axis=1)[:, n - 1 : n] + 1e-6 if far.shape[1] > n else np.inf
+        # all that may be among the nearest once rounded; only these are sorted. Rows come in order of how many they want
+        wanted = n + (some["more"].to_numpy() if "more" in some else np.zeros(len(some), int))
+        most = int(wanted[-1])
+        cut = np.full((len(some), 1), np.inf)
+        if far.shape[1] > most:
+            for k in np.unique(wanted):
+                own = np.flatnonzero(wanted == k)
+                cut[own] = np.partition(far[own], k - 1, axis=1)[:, k - 1 : k] + 1e-6
         r, c = np.nonzero((far <= cut) & np.isfinite(far))
         d = np.round(far[r, c], 6)
         order = np.lexsort((c, d, r))
         r, c, d = r[order], c[order], d[order]
-        kept = np.arange(len(r)) - np.searchsorted(r, r) < n
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < wanted[r]
         r, c, d = r[kept], c[kept], d[kept]
-        out.append(pd.DataFrame({"id": own[r], "neighbour": ids[c], "distance": d}))
+        out.append(pd.DataFrame({"id": asking[r], "neighbour": ids[c], "distance": d}))
     return pd.concat(out)
 
 

@@ -49,9 +49,7 @@ def ag13_samples(s: S, d: D) -> DataFrame:
 
 @query(f"SELECT user_id, feedback_type, sum(value) AS total FROM (SELECT user_id, feedback_type, round(value, 2) AS value FROM m WHERE timestamp <= {T0}) GROUP BY 1, 2 HAVING count(*) >= 10 AND sum(value) >= 50", "m")
 def ag2_busy_users(s: S, d: D) -> DataFrame:
-    rows = merged(s, d).where(F.col("timestamp") <= F.lit(AS_OF).cast("timestamp_ntz"))
-    agg = rows.groupBy("user_id", "feedback_type").agg(F.sum(F.round("value", 2)).alias("total"), F.count(F.lit(1)).alias("n"))
-    return agg.where("n >= 10 and total >= 50").select("user_id", "feedback_type", "total")
+    return I.busy_users(merged(s, d), AS_OF, 10, 50)
 
 
 @query("SELECT item_id, CAST(sum(n_positive) AS BIGINT) AS freq FROM p GROUP BY 1", "p")
@@ -128,12 +126,9 @@ def rc2_popular(s: S, d: D) -> DataFrame:
 FROM i LEFT JOIN (SELECT * FROM m WHERE timestamp <= {T0}) x ON x.item_id = i.item_id WHERE NOT i.is_hidden AND i.timestamp IS NOT NULL GROUP BY i.item_id, i.timestamp HAVING count(x.item_id) > 2""", "i", "m")
 def pr9_expressions(s: S, d: D) -> DataFrame:
     rows = merged(s, d).where(F.col("timestamp") <= F.lit(AS_OF).cast("timestamp_ntz")).select("item_id", "feedback_type", "value", "timestamp")
-    compiler = Compiler(AS_OF)
-    joined = items(s, d).where("not is_hidden and timestamp is not null").join(rows.select(*[F.col(c).alias(f"fb_{c}") for c in rows.columns]), F.col("item_id") == F.col("fb_item_id"), "left")
-    top, keep = compiler.compile("count(feedback, .FeedbackType == 'like') * 3 + len(feedback)"), compiler.compile("len(feedback) > 2")
-    age = Compiler(AS_OF).compile("1 + (now() - item.Timestamp).Hours()")
-    scored = joined.groupBy("item_id", "timestamp").agg(top.alias("top"), keep.alias("keep")).where("keep")
-    return scored.select("item_id", F.round(F.col("top") / age, 6).alias("score"))
+    score = "(count(feedback, .FeedbackType == 'like') * 3 + len(feedback)) / (1 + (now() - item.Timestamp).Hours())"
+    scored = leaderboard.scored_items(items(s, d).where("timestamp is not null"), rows, AS_OF, score, "len(feedback) > 2")
+    return scored.select("item_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT item_id, CAST(epoch_us(timestamp) // 1000000 AS DOUBLE) AS score FROM i WHERE NOT is_hidden AND timestamp IS NOT NULL ORDER BY timestamp DESC, item_id LIMIT 100", "i")
@@ -172,20 +167,10 @@ def _hidden(s: S, d: D) -> DataFrame:
     return items(s, d).where("is_hidden").select(F.col("item_id").alias("id"))
 
 
-def _tag_pairs(s: S, d: D) -> DataFrame:
-    tokens = item_tags(s, d)
-    return similarity.token_pairs(tokens, features.idf(tokens, items(s, d).count()))
-
-
 def _user_tokens(s: S, d: D) -> DataFrame:
     return liked(s, d).select(F.col("item_id").alias("id"), F.col("user_id").alias("token"))
 
 
-def _user_pairs(s: S, d: D) -> DataFrame:
-    tokens = _user_tokens(s, d)
-    return similarity.token_pairs(tokens, features.idf(tokens, items(s, d).count()))
-
-
 @query(_neighbour_sql("SELECT item_id AS id, unnest(tags) AS token FROM i", "i", _SHOWN), "i")
 def rc4_items_by_tags(s: S, d: D) -> DataFrame:
     """Also DI2, RC8 and RC9."""
@@ -223,8 +208,8 @@ e AS (SELECT a, b, (coalesce(dt, CASE WHEN a NOT IN (SELECT id FROM tt) AND b NO
 
 @query(_AUTO, "p")
 def rc6_items_auto(s: S, d: D) -> DataFrame:
-    pairs = similarity.auto_pairs(_tag_pairs(s, d), _user_pairs(s, d), item_tags(s, d), _user_tokens(s, d))
-    return similarity.neighbours(pairs, 10, _hidden(s, d))
+    total, kinds = items(s, d).count(), [item_tags(s, d), _user_tokens(s, d)]
+    return similarity.shared_token_neighbours([(t, features.idf(t, total)) for t in kinds], 10, _hidden(s, d))
 
 
 _VEC = """v AS (SELECT trim(item_id) AS id, min(vector)::DOUBLE[] AS x FROM item_embeddings WHERE len(vector) = 64 AND trim(item_id) <> '' AND len(list_filter(vector, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0
@@ -263,8 +248,8 @@ def rc15_item_to_item(s: S, d: D) -> DataFrame:
 
 @query("""WITH w AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, item_id) AS INTEGER) AS rn FROM p) SELECT user_id, item_id, timestamp FROM w WHERE rn <= 5""", "p")
 def wn7_latest_context(s: S, d: D) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), "item_id")
-    return liked(s, d).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("user_id", "item_id", "timestamp")
+    """Also WN6."""
+    return recommend.latest_positives(liked(s, d), 5).select("user_id", "item_id", "timestamp")
 
 
 @query(f"""WITH t AS (SELECT user_id AS id, item_id AS token FROM p), n AS (SELECT count(*) AS n FROM u), {_PAIR}, {_RANK.format(hide='')},
@@ -290,9 +275,9 @@ def se1_sequential(s: S, d: D) -> DataFrame:
     return recommend.sequential([_item_lists(s, d), fallback], 20)
 
 
-@query(f"WITH {_LISTED} SELECT user_id, item_id, score, CAST(rank - 3 AS INTEGER) + 3 AS rank FROM b1 WHERE rank > 3 AND rank <= 8", "p")
+@query(f"WITH {_LISTED.replace(' LIMIT 15', '')} SELECT user_id, item_id, score, CAST(rank - 3 AS INTEGER) + 3 AS rank FROM b1 WHERE rank > 3 AND rank <= 8", "p")
 def qp2_latest_page(s: S, d: D) -> DataFrame:
-    return recommend.latest_page(leaderboard.latest(items(s, d), 15), users(s, d), classified(s, d), 3, 5, 15)
+    return recommend.latest_page(leaderboard.latest(items(s, d)), users(s, d), classified(s, d), 3, 5)
 
 
 @query("""WITH last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, subset, id ORDER BY timestamp DESC NULLS LAST, score DESC NULLS LAST, coalesce(is_hidden, false) DESC, coalesce(array_to_string(categories, ','), '') DESC) AS rn FROM scores) WHERE rn = 1),
@@ -442,12 +427,21 @@ def wn12_split_by_user_time(s: S, d: D) -> DataFrame:
     return evaluate.split_by_user_time(I.samples(classified(s, d))).select("user_id", "item_id", "is_test")
 
 
-@query()
+_DRAWN = "md5('0/' || user_id || '/' || item_id)"
+
+
+@query(f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {_DRAWN}, item_id) = 1 AS is_test FROM p", "p")
 def wn9_leave_one_out(s: S, d: D) -> DataFrame:
     return evaluate.leave_one_out(liked(s, d)).select("user_id", "item_id", "is_test")
 
 
-@query()
+@query(f"""WITH t AS (SELECT user_id FROM p GROUP BY 1 ORDER BY md5('0/' || user_id), user_id LIMIT 100)
+SELECT user_id, item_id, user_id IN (SELECT user_id FROM t) AND row_number() OVER (PARTITION BY user_id ORDER BY {_DRAWN}, item_id) = 1 AS is_test FROM p""", "p")
+def wn9_test_users(s: S, d: D) -> DataFrame:
+    return evaluate.leave_one_out(liked(s, d), test_users=100).select("user_id", "item_id", "is_test")
+
+
+@query(f"SELECT user_id, item_id, row_number() OVER (ORDER BY {_DRAWN}) <= CAST(floor((SELECT count(*) FROM c) * 0.2) AS BIGINT) AS is_test FROM c", "c")
 def wn11_random_split(s: S, d: D) -> DataFrame:
     return evaluate.random_split(I.samples(classified(s, d))).select("user_id", "item_id", "is_test")
 
@@ -485,7 +479,17 @@ def qp4_collaborative(s: S, d: D) -> DataFrame:
     return recommend.search(rows, "collaborative-filtering", users(s, d), classified(s, d).where("kind = 'read'"), 0, 10, ["home"])
 
 
-@query()
+@query(f"""WITH n AS (SELECT count(*) AS n FROM u) SELECT u.user_id, least(20, (SELECT count(*) FROM i) - coalesce(k.n, 0)) AS drawn, 0 AS known
+FROM u LEFT JOIN (SELECT user_id, count(*) AS n FROM c GROUP BY 1) k ON k.user_id = u.user_id WHERE (SELECT count(*) FROM i) > coalesce(k.n, 0)""", "c")
+def wn14_negative_counts(s: S, d: D) -> DataFrame:
+    """How many distinct negatives each user gets, and how many of them are known."""
+    kinds = classified(s, d)
+    drawn = evaluate.sample_negatives(users(s, d), items(s, d), kinds, 20).join(kinds.select("user_id", "item_id", F.lit(1).alias("k")), ["user_id", "item_id"], "left")
+    return drawn.groupBy("user_id").agg(F.count_distinct("item_id").alias("drawn"), F.count("k").alias("known"))
+
+
+@query(f"""WITH {_VEC}, h AS (SELECT a.id, b.id AS neighbour, round(1 - list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))), 6) AS distance FROM v a, v b WHERE a.id <> b.id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS rank FROM h WHERE distance > 0) SELECT * FROM k WHERE rank <= 5""")
 def an1_hashed_neighbours(s: S, d: D) -> DataFrame:
     return similarity.hashed_neighbours(vectors(s, d), 5)
 

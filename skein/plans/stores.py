@@ -333,5 +333,5 @@ def vectors(s: S, d: D) -> DataFrame:
 
 
 @query("SELECT trim(item_id) AS item_id, len(list_sort(list_distinct(list_filter(list_transform(coalesce(categories, []), lambda x: trim(lower(x))), lambda x: x IS NOT NULL AND x <> '')))) AS n FROM items WHERE item_id IS NOT NULL")
-def pr19_clean_categories(s: S, d: D) -> DataFrame:
+def pr12_clean_categories(s: S, d: D) -> DataFrame:
     return table(s, d, "items").where("item_id is not null").select(F.trim("item_id").alias("item_id"), F.size(clean_terms(F.col("categories"))).cast("bigint").alias("n"))

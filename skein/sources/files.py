@@ -94,6 +94,8 @@ def export_lines(df: DataFrame, path: str, as_of: str | None = None) -> None:
     """Rows as JSON lines; of feedback only what is dated up to ``as_of`` (SK9)."""
     if as_of is not None:
         df = df.where(F.col("timestamp") <= F.lit(as_of).cast("timestamp_ntz"))
+    times = [f.name for f in df.schema.fields if f.dataType.typeName().startswith("timestamp")]
+    df = df.withColumns({c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c in times}) if times else df
     back = {v: k for k, v in _NAMES.items()}
     df.withColumnsRenamed({c: back[c] for c in df.columns if c in back}).write.json(path)
 
@@ -114,6 +116,42 @@ def compact(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
 
 
+def write_train(pairs: DataFrame, path: str) -> None:
+    """``user_id, item_id`` as the lines that ``read_train`` reads."""
+    pairs.select(F.concat_ws("\t", "user_id", "item_id").alias("value")).write.text(path)
+
+
+def write_test(rows: DataFrame, path: str) -> None:
+    """``user_id, item_id, negatives`` as the lines that ``read_test`` reads."""
+    rows.select(F.concat_ws("\t", F.concat(F.lit("("), "user_id", F.lit(","), "item_id", F.lit(")")), "negatives").alias("value")).write.text(path)
+
+
+def write_indexed(rows: DataFrame, path: str) -> None:
+    """``target, indices, values`` as the lines that ``read_indexed`` reads."""
+    pairs = F.zip_with("indices", "values", lambda i, v: F.concat_ws(":", i.cast("string"), v.cast("string")))
+    rows.select(F.concat_ws(" ", F.col("target").cast("string"), pairs).alias("value")).write.text(path)
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    """Rows into a table of a SQL store (SK12)."""
+    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
+def upsert_jdbc(batch: DataFrame, url: str, name: str, keys: list[str], order: list[Column], **options: str) -> None:
+    """The batch's rows, first of a key wins, in place of the table's rows with their keys (SK12).
+
+    The new table is written beside the old one and copied over it in the store's own transaction of an overwrite, as
+    Spark has no upsert by JDBC.
+    """
+    from skein.lineage import Scratch
+    from skein.operators.ingest import upsert
+
+    old = read_jdbc(batch.sparkSession, url, name, **options)
+    named = batch.select(*[F.col(c) for c in batch.columns if c in old.columns])
+    made = Scratch(batch.sparkSession, "jdbc").cut(upsert(old, named, keys, order))
+    write_jdbc(made, url, name, "overwrite", truncate="true", **options)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a SQL store; its driver must be on the class path (SK12). Give partitionColumn, bounds and numPartitions to read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()

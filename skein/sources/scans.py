@@ -37,10 +37,9 @@ def feedback_between(
 def page(df: DataFrame, key: str, cursor: str = "", n: int = 10) -> tuple[DataFrame, str]:
     """A page of ``n`` rows by ascending ``key`` from ``cursor`` on, and the next cursor, empty at the end (SC4, SC5)."""
     start = base64.b64decode(cursor).decode() if cursor else ""
-    rows = df.where(F.col(key) >= start).orderBy(key).limit(n + 1)
-    ahead = [r[0] for r in rows.select(key).collect()]
-    after = base64.b64encode(ahead[n].encode()).decode() if len(ahead) > n else ""
-    return rows.limit(n), after
+    rows = df.where(F.col(key) >= start).orderBy(key).limit(n + 1).collect()
+    after = base64.b64encode(rows[n][key].encode()).decode() if len(rows) > n else ""
+    return df.sparkSession.createDataFrame(rows[:n], df.schema), after
 
 
 def feedback_page(feedback: DataFrame, cursor: str = "", n: int = 10, begin: str | None = None, end: str | None = None, types: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -49,10 +48,9 @@ def feedback_page(feedback: DataFrame, cursor: str = "", n: int = 10, begin: str
     key = F.struct("feedback_type", "user_id", "item_id")
     if cursor:
         rows = rows.where(key >= F.struct(*map(F.lit, json.loads(base64.b64decode(cursor)))))
-    rows = rows.orderBy("feedback_type", "user_id", "item_id").limit(n + 1)
-    ahead = [list(r) for r in rows.select("feedback_type", "user_id", "item_id").collect()]
-    after = base64.b64encode(json.dumps(ahead[n]).encode()).decode() if len(ahead) > n else ""
-    return rows.limit(n), after
+    found = rows.orderBy("feedback_type", "user_id", "item_id").limit(n + 1).collect()
+    after = base64.b64encode(json.dumps([found[n][c] for c in ("feedback_type", "user_id", "item_id")]).encode()).decode() if len(found) > n else ""
+    return feedback.sparkSession.createDataFrame(found[:n], rows.schema), after
 
 
 def one(df: DataFrame, key: str, value: str) -> DataFrame:

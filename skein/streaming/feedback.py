@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.functions.predicates import matches
 from skein.operators.ingest import merge_feedback
+from skein.schema import FEEDBACK_KEY
+from skein.sources.versions import Versions
 
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -29,43 +31,34 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if single else reader.parquet(path)
 
 
-class MergedTable:
-    """Merged feedback kept as numbered Parquet versions below ``root`` (ST5).
+class MergedTable(Versions):
+    """Merged feedback in buckets of its key's hash below ``root`` (ST5).
 
-    A batch is merged once: its number is the version's name, and a batch that comes again after a failure finds it
-    there. Readers take the newest complete version; older ones than ``keep`` go.
+    A batch rewrites the buckets that its keys fall into; the new version names the other buckets' folders as before.
+    The batch's number is the version's, and a batch that comes again after a failure finds it there. The number of
+    buckets must stay the same for a table.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
-
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        jvm = self.spark.sparkContext._jvm
-        if not fs.exists(path):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))]
-        return sorted(done)
-
-    def load(self) -> DataFrame | None:
-        done = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v{done[-1]}") if done else None
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, buckets: int = 64):
+        super().__init__(spark, root, keep)
+        self.buckets = buckets
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        done = self.versions()
-        if done and done[-1] >= number:
+        if (self.versions() or [-1])[-1] >= number:
             return
-        old = self.load()
-        rows = batch.select("feedback_type", "user_id", "item_id", "value", "timestamp", "updated", "comment")
-        merge_feedback(rows if old is None else old.unionByName(rows)).write.mode("overwrite").parquet(f"{self.root}/v{number}")
-        fs, _ = self._fs()
-        for v in self.versions()[: -self.keep]:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{v}"), True)
+        bucket = F.pmod(F.xxhash64(*FEEDBACK_KEY), F.lit(self.buckets)).cast("int")
+        rows = merge_feedback(batch.select(*FEEDBACK_KEY, "value", "timestamp", "updated", "comment"))
+        incoming = f"{self.root}/incoming"
+        rows.write.mode("overwrite").parquet(incoming)
+        rows = self.spark.read.schema(rows.schema).parquet(incoming)
+        touched = [str(r["b"]) for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most the buckets
+        parts = self.parts()
+        held = [f"{self.root}/data/{parts[b]}" for b in touched if b in parts]
+        if held:
+            rows = merge_feedback(self.spark.read.schema(rows.schema).parquet(*held).unionByName(rows))
+        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v{number}")
+        self.commit(number, parts | {b: f"v{number}/bucket={b}" for b in touched})
+        self._fs().delete(self._path("incoming"), True)
 
 
 def maintain(stream: DataFrame, target: MergedTable, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -45,7 +45,7 @@ def test_equal_sets_are_pruned_and_hidden_are_no_neighbours(spark, rows):
     hidden = spark.createDataFrame([("c",)], "id string")
     assert rows(similarity.neighbours(pairs, 5, hidden), "id", "neighbour") == [("c", "a"), ("c", "b")]
     for block in (2, 1000):
-        assert rows(similarity.token_neighbours(tokens, weights, 5, block_ids=block)) == rows(similarity.neighbours(pairs, 5))
+        assert rows(similarity.token_neighbours(tokens, weights, 5, block_rows=block)) == rows(similarity.neighbours(pairs, 5))
         assert rows(similarity.token_neighbours(tokens, weights, 1, hidden, block)) == rows(similarity.neighbours(pairs, 1, hidden))
     assert similarity.token_neighbours(tokens.limit(0), weights, 5).count() == 0
     auto = similarity.auto_pairs(pairs, pairs.limit(0), tokens, tokens.limit(0))
