@@ -7,32 +7,51 @@ from pyspark.sql import functions as F
 
 from skein.functions.predicates import has_any, visible
 from skein.functions.vectors import METRICS
-from skein.schema import VECTORS
+from skein.schema import META, VECTORS
+from skein.sources.versions import Versions
 
 
 class VectorStore:
-    """Collections as Parquet folders, each with its metric."""
+    """Collections as versions of Parquet folders below ``root``, each named with its metric by a table of its own (VE1 to VE3)."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        self.metrics: dict[str, str] = {}
+        self.spark, self.root = spark, root.rstrip("/")
+        self._names = Versions(spark, f"{self.root}/_collections")
+
+    @property
+    def metrics(self) -> dict[str, str]:
+        return {r["name"]: r["value"] for r in self._names.load(META).collect()}  # a row for each collection
+
+    def _keep(self, metrics: dict[str, str]) -> None:
+        self._names.replace(self.spark.createDataFrame(sorted(metrics.items()), META).coalesce(1))
 
     def add_collection(self, name: str, metric: str = "cosine") -> None:
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric}")
-        self.metrics[name] = metric
+        self._keep(self.metrics | {name: metric})
 
     def collections(self) -> list[str]:
         return sorted(self.metrics)
 
     def delete_collection(self, name: str) -> None:
-        del self.metrics[name]
+        held = self._table(name)
+        self._keep({k: v for k, v in self.metrics.items() if k != name})
+        held.drop()
+
+    def _table(self, name: str) -> Versions:
+        if name not in self.metrics:
+            raise KeyError(name)
+        return Versions(self.spark, f"{self.root}/{name}")
 
     def add(self, name: str, vectors: DataFrame) -> None:
-        vectors.select(*VECTORS.fieldNames()).write.mode("append").parquet(f"{self.root}/{name}")
+        """Vectors beside those that are there, which aren't rewritten."""
+        self._table(name).append(vectors.select(*VECTORS.fieldNames()))
+
+    def delete_before(self, name: str, time: str) -> None:
+        self._table(name).replace(delete_before(self.load(name), time))
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.schema(VECTORS).parquet(f"{self.root}/{name}")
+        return self._table(name).load(VECTORS)
 
     def query(self, name: str, vector: list[float], n: int, categories: list[str] | None = None) -> DataFrame:
         return query_vectors(self.load(name), vector, n, self.metrics[name], categories)

@@ -18,7 +18,8 @@ class Reference:
 
     ``match`` tells what nulls mean, as in the SQL standard: ``simple``: a row with any null refers to nothing;
     ``partial``: the columns that aren't null must all agree with one row; ``full``: all or none may be null, a mix is
-    an orphan by itself.
+    an orphan by itself. With ``born``, a time of the target, and ``made``, one of the referring rows, a reference
+    whose rows exist but are all younger than it is an orphan too; rows without a time neither help nor harm.
     """
 
     name: str
@@ -26,6 +27,8 @@ class Reference:
     target: DataFrame
     keys: tuple[str, ...]
     match: str = "simple"
+    made: str | None = None
+    born: str | None = None
 
 
 def _cleaned(df: DataFrame, name: str) -> Column:
@@ -33,23 +36,26 @@ def _cleaned(df: DataFrame, name: str) -> Column:
 
 
 def orphan_references(refs: DataFrame, reference: Reference, period: Column | None = None) -> DataFrame:
-    """Distinct orphans: ``ref_table, mask, key_1.., period, n_rows``. ``mask`` has 1 for a given column and 0 for a null.
-
-    Strings are trimmed and blanks are nulls. References are counted per (keys, period) with map-side combining before
-    anything is joined, so a hot key is one row a period. Rows are then grouped by null mask, and each mask is
-    anti-joined on its own non-null columns only. An empty target makes every checked reference an orphan; an empty
-    ``refs`` gives no rows; repeated target rows don't repeat orphans; a row of nulls only refers to nothing.
+    """Distinct orphans: ``ref_table, mask, key_1.., period, n_rows, late``. ``mask`` has 1 for a given column and 0 for a null.
+
+    Strings are trimmed and blanks are nulls. References are counted per (keys, period), with their first time, with
+    map-side combining before anything is joined, so a hot key is one row a period. Rows are then grouped by null mask,
+    and each mask meets the target on its own non-null columns only: without a partner it is an orphan, and with
+    partners that are all younger than the first reference of the period it is one that came too early, ``late``. An
+    empty target makes every checked reference an orphan; an empty ``refs`` gives no rows; repeated target rows don't
+    repeat orphans; a row of nulls only refers to nothing.
     """
     if reference.match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match rule {reference.match}")
     width = len(reference.columns)
     names = [f"key_{i + 1}" for i in range(width)]
     mask = F.concat(*[F.when(F.col(n).isNull(), "0").otherwise("1") for n in names])
-    tallied = (
-        refs.select(*[_cleaned(refs, c).alias(n) for c, n in zip(reference.columns, names)], (F.lit("all") if period is None else period).alias("period"))
-        .groupBy(*names, "period").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("mask", mask)
-    )
-    target = reference.target.select(*[_cleaned(reference.target, k).alias(n) for k, n in zip(reference.keys, names)])
+    timed = reference.made is not None and reference.born is not None
+    first = F.min(micros(refs, reference.made)) if timed else F.lit(None).cast("bigint")
+    keys = [_cleaned(refs, c).alias(n) for c, n in zip(reference.columns, names)]
+    tallied = refs.groupBy(*keys, (F.lit("all") if period is None else period).alias("period")).agg(F.count(F.lit(1)).alias("n_rows"), first.alias("_made")).withColumn("mask", mask)
+    born = micros(reference.target, reference.born) if timed else F.lit(None).cast("bigint")
+    target = reference.target.select(*[_cleaned(reference.target, k).alias(n) for k, n in zip(reference.keys, names)], born.alias("_born"))
     parts = []
     for bits in product("01", repeat=width):
         given = [n for n, b in zip(names, bits) if b == "1"]
@@ -57,10 +63,14 @@ def orphan_references(refs: DataFrame, reference: Reference, period: Column | No
             continue
         rows = tallied.where(F.col("mask") == "".join(bits))
         if len(given) < width and reference.match == "full":
-            parts.append(rows)
+            parts.append(rows.withColumn("late", F.lit(False)))
+        elif timed:
+            known = target.groupBy(*given).agg(F.min("_born").alias("_born")).withColumn("_known", F.lit(True))
+            late = F.col("_born") > F.col("_made")
+            parts.append(rows.join(known, given, "left").where(F.col("_known").isNull() | late).withColumn("late", F.col("_known").isNotNull()).select(*rows.columns, "late"))
         else:
-            parts.append(rows.join(target.select(*given).distinct(), given, "left_anti").select(*rows.columns))
-    return reduce(DataFrame.unionByName, parts).select(F.lit(reference.name).alias("ref_table"), "mask", *names, "period", "n_rows")
+            parts.append(rows.join(target.select(*given).distinct(), given, "left_anti").select(*rows.columns, F.lit(False).alias("late")))
+    return reduce(DataFrame.unionByName, parts).select(F.lit(reference.name).alias("ref_table"), "mask", *names, "period", "n_rows", "late")
 
 
 def dangling_feedback(feedback: DataFrame, items: DataFrame, users: DataFrame, removals: DataFrame) -> DataFrame:
@@ -70,14 +80,9 @@ def dangling_feedback(feedback: DataFrame, items: DataFrame, users: DataFrame, r
     ``missing``: neither; ``late`` (items): the row exists, but its earliest time is after the feedback's.
     Null and blank ids refer to nothing. An item without any time is never late. Each case comes once.
     """
-    fb = feedback.select("user_id", "item_id", micros(feedback, "timestamp").alias("t"), "timestamp")
     day = F.coalesce(F.date_format(F.col("timestamp"), "yyyy-MM-dd"), F.lit("unknown"))
     removed = removals.select(F.concat(F.trim("entity"), F.lit("s")).alias("ref_table"), clean_id("entity_id").alias("key_1")).where("key_1 is not null").distinct()
-    orphans = orphan_references(fb, Reference("items", ("item_id",), items, ("item_id",)), day).unionByName(orphan_references(fb, Reference("users", ("user_id",), users, ("user_id",)), day))
+    of_items = Reference("items", ("item_id",), items, ("item_id",), made="timestamp", born="timestamp")
+    orphans = orphan_references(feedback, of_items, day).unionByName(orphan_references(feedback, Reference("users", ("user_id",), users, ("user_id",)), day))
     told = orphans.join(removed.withColumn("gone", F.lit(True)), ["ref_table", "key_1"], "left")
-    absent = told.select("ref_table", F.col("key_1").alias("ref_id"), "period", F.when(F.col("gone"), "deleted").otherwise("missing").alias("kind"))
-    first = items.select(clean_id("item_id").alias("key_1"), micros(items, "timestamp").alias("t")).where("key_1 is not null and t is not null").groupBy("key_1").agg(F.min("t").alias("since"))
-    # the earliest feedback of a day decides whether the day has a case, so one row per (item, day) is enough
-    seen = fb.where("timestamp is not null").select(clean_id("item_id").alias("key_1"), day.alias("period"), "t").where("key_1 is not null").groupBy("key_1", "period").agg(F.min("t").alias("t"))
-    late = seen.join(first, "key_1").where("since > t").select(F.lit("items").alias("ref_table"), F.col("key_1").alias("ref_id"), "period", F.lit("late").alias("kind"))
-    return absent.unionByName(late)
+    return told.select("ref_table", F.col("key_1").alias("ref_id"), "period", F.when(F.col("late"), "late").when(F.col("gone"), "deleted").otherwise("missing").alias("kind"))

@@ -53,7 +53,7 @@ def p3_reviews(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     ref = Reference("feedback", ("item_id", "user_id"), table(spark, d, "feedback"), ("item_id", "user_id"), "partial")
     month = F.coalesce(F.date_format("review_date", "yyyy-MM"), F.lit("unknown"))
-    return orphan_references(documents, ref, month)
+    return orphan_references(documents, ref, month).drop("late")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p1_device_sessions, p2_found, p2_item_totals, p2_user_totals, p3_found, p3_reviews)}

@@ -315,9 +315,10 @@ def pr17_valid_ids(s: S, d: D) -> DataFrame:
     return table(s, d, "feedback").groupBy("feedback_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(valid_id(F.col("user_id")) & valid_id(F.col("item_id"))).alias("valid"))
 
 
-@query("""WITH v AS (SELECT trim(item_id) AS id, min(vector) AS vector FROM item_embeddings WHERE len(vector) = 64 AND trim(item_id) <> '' AND len(list_filter(vector, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
-q AS (SELECT vector AS q FROM v ORDER BY id LIMIT 1)
-SELECT id, round(list_distance(vector::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM v, q ORDER BY 2, id LIMIT 30""")
+_VECTORS = """v AS (SELECT trim(item_id) AS id, min(vector) AS vector FROM item_embeddings WHERE len(vector) = 64 AND trim(item_id) <> '' AND len(list_filter(vector, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1)"""
+
+
+@query(f"WITH {_VECTORS}, q AS (SELECT vector AS q FROM v ORDER BY id LIMIT 1) SELECT id, round(list_distance(vector::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM v, q ORDER BY 2, id LIMIT 30")
 def ve3_query_vectors(s: S, d: D) -> DataFrame:
     """Also DI1."""
     rows = vectors(s, d)

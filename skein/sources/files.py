@@ -140,15 +140,13 @@ def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **optio
 def upsert_jdbc(batch: DataFrame, url: str, name: str, keys: list[str], order: list[Column], **options: str) -> None:
     """The batch's rows, first of a key wins, in place of the table's rows with their keys (SK12).
 
-    The new table is written beside the old one and copied over it in the store's own transaction of an overwrite, as
-    Spark has no upsert by JDBC.
+    Spark has no upsert by JDBC: the new table is made beside the old one, which is then emptied and filled.
     """
     from skein.lineage import Scratch
     from skein.operators.ingest import upsert
 
     old = read_jdbc(batch.sparkSession, url, name, **options)
-    named = batch.select(*[F.col(c) for c in batch.columns if c in old.columns])
-    made = Scratch(batch.sparkSession, "jdbc").cut(upsert(old, named, keys, order))
+    made = Scratch(batch.sparkSession, "jdbc").cut(upsert(old, batch, keys, order))
     write_jdbc(made, url, name, "overwrite", truncate="true", **options)
 
 

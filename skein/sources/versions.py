@@ -70,5 +70,11 @@ class Versions:
         df.write.mode("overwrite").parquet(f"{self.root}/data/v{number}")
         self.commit(number, {"": f"v{number}"})
 
+    def append(self, df: DataFrame) -> None:
+        """A new version with one part more."""
+        number = (self.versions() or [0])[-1] + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/data/v{number}")
+        self.commit(number, self.parts() | {str(number): f"v{number}"})
+
     def drop(self) -> None:
         self._fs().delete(self._path(), True)

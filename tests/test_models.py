@@ -69,12 +69,12 @@ def test_machine(spark):
     items = spark.createDataFrame([(f"i{i}", f"h{i % 2}", 1.0) for i in range(12)], "id string, name string, weight double")
     rows = hashed_features(samples, users, items, 512)
     local = rows.collect()
-    at, value = padded([r["pairs"] for r in local], 4)
+    at, value = padded([r["pairs"] for r in local])
     target = np.array([r["target"] for r in local], float)
     machine = AttentiveMachine(512, 8)
     losses = machine.fit(at, value, target, epochs=60, rate=0.05)
     assert losses[-1] < losses[0] / 2
-    scored = {(r["user_id"], r["item_id"]): r["score"] for r in machine.transform(rows, 4).collect()}
+    scored = {(r["user_id"], r["item_id"]): r["score"] for r in machine.transform(rows).collect()}
     right = np.mean([(scored[r["user_id"], r["item_id"]] > 0) == (r["target"] > 0) for r in local])
     assert right > 0.95
     with_embeddings = AttentiveMachine(512, 8, embedding=3)
@@ -105,3 +105,26 @@ def test_search_and_stopping():
     params, score = search({"x": (0.01, 10.0), "k": [1, 2]}, lambda p: -abs(p["x"] - 1) + p["k"], 40)
     assert params["k"] == 2 and score > 1.5
     assert early_stopped(lambda e: -abs(e - 3), 50, 4) == (3, 0.0)
+
+
+def test_attention_counts_when_scoring(spark, tmp_path):
+    """Scores by batch are the model's, with attention over as many vectors as a row has, and no pair is cut."""
+    rng = np.random.default_rng(1)
+    machine = AttentiveMachine(64, 4, embedding=3, seed=2)
+    for p in machine.parameters():
+        p.data = rng.normal(0, 0.5, p.data.shape)
+    data = [(f"u{k}", "i", [(int(x), float(v)) for x, v in zip(rng.integers(0, 64, k % 5 + 1), rng.normal(size=k % 5 + 1))], [[float(y) for y in rng.normal(size=3)] for _ in range(k % 3)] if k % 4 else None) for k in range(24)]
+    df = spark.createDataFrame(data, "user_id string, item_id string, pairs array<struct<i:int,w:double>>, embeddings array<array<double>>")
+    got = {r["user_id"]: r["score"] for r in machine.transform(df).collect()}
+    for user, _, pairs, vectors in data:
+        at, value = np.array([[i for i, _ in pairs]]), np.array([[w for _, w in pairs]], np.float32)
+        alone = float(machine(at, value, np.array([vectors], np.float32) if vectors else None).data[0])
+        assert np.isclose(got[user], alone, atol=1e-5)
+    machine.save(str(tmp_path / "m.npz"))
+    again = AttentiveMachine.load(str(tmp_path / "m.npz"))
+    assert {r["user_id"]: r["score"] for r in again.transform(df).collect()} == got
+    with pytest.raises(ValueError):
+        machine.transform(df.drop("embeddings"))
+    plain = AttentiveMachine(64, 4)
+    plain.w.data = rng.normal(size=plain.w.data.shape)
+    assert np.isclose({r["user_id"]: r["score"] for r in plain.transform(df).collect()}["u4"], sum(w * plain.w.data[i, 0] for i, w in data[4][2]), atol=0.02)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+from importlib import import_module
 
 import duckdb
 import pytest
@@ -12,10 +13,8 @@ import __spark_entry__ as entry
 from compare import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
+CORE = {name for module in entry._MODULES if module.startswith("skein.plans.") for name in import_module(module).QUERIES}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
-#: Queries that need many Spark jobs are left to the driver's comparison; their operators have tests of their own.
-LONG = {"p1_sessions", "p1_device_sessions", "p4_classes", "p5_lift", "p6_neighbours", "p7_ranked", "p8_decoded", "p9_shares", "rc21_decayed", "rc22_session", "rc6_items_auto"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -26,7 +25,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - LONG))
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     sql = entry.oracle_sql().get(name)

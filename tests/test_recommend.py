@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import evaluate, features, interactions, leaderboard, recommend, similarity
+from skein.operators import evaluate, features, hot_keys, interactions, leaderboard, recommend, similarity
 from skein.operators.rank import external, parse_completion, rank_by_client, render
 
 T = dt.datetime(2014, 1, 1)
@@ -172,3 +173,60 @@ def test_clients(spark, rows):
     prompts = spark.createDataFrame([("u", "q", ["a", "b"], ["da", "db"])], "user_id string, query string, item_ids array<string>, documents array<string>")
     assert rows(rank_by_client(prompts, lambda q, docs: [(1, 0.9), (0, 0.1)])) == [("u", "a", 0.1, 2), ("u", "b", 0.9, 1)]
     assert rows(external(spark.createDataFrame([("u",)], "user_id string"), lambda u: ["x", "y", "x"])) == [("u", "x", 0.0, 1), ("u", "y", 0.0, 2)]
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("```json\n{\"a\": 1}\n```", ["{\"a\": 1}\n"]), ("```json\n[1, 2.0, 2.5, {\"b\": [1, null], \"a\": true}, \"x y\"]\n```", ["1", "2", "2.5", "{\"a\":true,\"b\":[1,null]}", "x y"]),
+        ("```json\n[1, \n```", ["[1, \n"]), ("```\n[1]\n```\nthen\n~~~ csv\n a ,1\n\n b,2\n~~~", ["a", "b"]), ("```json\n[\"open\"]", ["open"]), ("", []),
+        ("a <think>b</think>", ["a <think>b</think>"]), ("<think>b", ["<think>b"]), ("<think>```json\n[1]\n```</think> c ", ["c"]), ("```python\nx\n```", ["```python", "x", "```"]), ("```json\n[]\n```", []),
+    ],
+)
+def test_completions(text, names):
+    assert parse_completion(text) == names
+
+
+def test_filled_lists_look_as_deep_as_a_user_has_seen(spark):
+    users = spark.createDataFrame([("new",), ("some",), ("all",), ("most",)], "user_id string")
+    board = spark.createDataFrame([(f"i{k:03d}", float(-k)) for k in range(200)], "item_id string, score double")
+    seen = spark.createDataFrame([("some", f"i{k:03d}") for k in range(30)] + [("all", f"i{k:03d}") for k in range(200)] + [("most", f"i{k:03d}") for k in range(197)] + [("most", "i000")], "user_id string, item_id string")
+    got = {}
+    for r in recommend.filled_list(users, board, 5, seen).orderBy("rank").collect():
+        got.setdefault(r["user_id"], []).append(r["item_id"])
+    assert got == {"new": [f"i{k:03d}" for k in range(5)], "some": [f"i{k:03d}" for k in range(30, 35)], "most": ["i197", "i198", "i199"]}
+    page = recommend.latest_page(board, users, seen, 2, 2)
+    assert {(r["user_id"], r["item_id"], r["rank"]) for r in page.collect()} == {("new", "i002", 3), ("new", "i003", 4), ("some", "i032", 3), ("some", "i033", 4), ("most", "i199", 3)}
+    assert recommend.filled_list(users, board.limit(0), 5, seen).count() == 0
+
+
+def test_queries_with_depths_of_their_own(spark):
+    vectors = spark.createDataFrame([(f"{i:03d}", [0.1 * i, 0.2 * i]) for i in range(50)], "id string, vector array<float>")
+    asking = vectors.where("id < '004'").withColumn("more", F.when(F.col("id") == "002", 30).otherwise(F.col("id").cast("int")))
+    near = similarity.vector_neighbours(vectors, 3, "dot", queries=asking, blocks=2)
+    assert {r["id"]: r["n"] for r in near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()} == {"000": 3, "001": 4, "002": 33, "003": 6}
+    assert near.where("id = '003'").orderBy("rank").first()["neighbour"] == "049"
+
+
+@pytest.mark.parametrize("cells", [4, 4_000_000])
+def test_mean_of_two_kinds_of_tokens(spark, rows, monkeypatch, cells):
+    monkeypatch.setattr(similarity, "CELLS", cells)
+    rng = random.Random(3)
+    kinds = []
+    for k in range(2):
+        held = {(f"i{rng.randrange(40):02d}", f"t{rng.randrange(12)}") for _ in range(110)}
+        tokens = spark.createDataFrame(sorted(held), "id string, token string")
+        kinds.append((tokens, features.idf(tokens, 40)))
+    pairs = [similarity.token_pairs(*k) for k in kinds]
+    want = similarity.neighbours(similarity.auto_pairs(*pairs, kinds[0][0], kinds[1][0]), 4)
+    for block in (30, 10_000):
+        got = similarity.shared_token_neighbours(kinds, 4, block_rows=block)
+        assert rows(got, "id", "neighbour", "rank", "score") == rows(want, "id", "neighbour", "rank", "score")
+
+
+def test_salted_join_is_the_plain_join(spark, rows):
+    big = spark.createDataFrame([("hot" if k % 3 else f"k{k % 50}", k, "x") for k in range(6000)] + [(None, 1, "y")], "key string, n int, clash string")
+    small = spark.createDataFrame([("hot", "a"), ("k0", "b"), ("k3", "c"), ("zz", "d"), (None, "e")], "key string, name string")
+    for how in ("inner", "left"):
+        assert rows(hot_keys.salted_join(big, small, "key", how, share=0.1, salts=4), "key", "n", "name") == rows(big.join(small, "key", how), "key", "n", "name")
+    assert hot_keys.salted_join(big.limit(0), small, "key").count() == 0

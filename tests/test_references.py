@@ -38,3 +38,13 @@ def test_kinds(spark, rows):
         ("items", "i2", "2014-01-02", "deleted"), ("items", "i3", "unknown", "missing"), ("items", "i4", "2014-01-02", "late"), ("users", "u3", "unknown", "deleted"), ("users", "u4", "2014-01-02", "missing"),
     ]
     assert rows(dangling_feedback(fb.limit(0), items, users, removals)) == []
+
+
+def test_references_that_come_before_their_rows(spark, rows):
+    """A composite reference with times: the masks are checked on their own columns, the youngest partner decides nothing."""
+    refs = spark.createDataFrame([("a", "x", T), ("a", None, T), ("b", "x", T), ("b", "x", T + dt.timedelta(2)), (None, "y", None), (None, "z", T)], "p string, q string, at timestamp_ntz")
+    target = spark.createDataFrame([("a", "x", T + dt.timedelta(1)), ("a", "w", T - dt.timedelta(1)), ("b", "x", None), ("c", "z", T), ("c", "y", T)], "k string, l string, at timestamp_ntz")
+    ref = Reference("t", ("p", "q"), target, ("k", "l"), "partial", "at", "at")
+    assert rows(orphan_references(refs, ref), "mask", "key_1", "key_2", "n_rows", "late") == [("11", "a", "x", 1, True)]
+    late = Reference("t", ("p", "q"), target.where("k <> 'b'"), ("k", "l"), "partial", "at", "at")
+    assert rows(orphan_references(refs, late), "mask", "key_1", "key_2", "n_rows", "late") == [("11", "a", "x", 1, True), ("11", "b", "x", 2, False)]

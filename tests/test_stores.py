@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein import schema
 from skein.engine import Engine
 from skein.operators import cache, ingest
+from skein.schema import FEEDBACK, ITEMS, SCORES
 from skein.sources import files, scans
 
 T = dt.datetime(2014, 1, 1)
@@ -128,3 +129,45 @@ def test_engine(spark, rows, tmp_path):
     assert rows(e.table("items").where("item_id = 'i1'"), "categories") == [(["c", "d"],)]
     e.purge()
     assert e.table("items").count() == 0
+
+
+def test_another_engine_finds_what_was_written(spark, rows, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), "2014-01-10 00:00:00")
+    e.insert_users(spark.createDataFrame([("u1", None, "b", 2), ("u1", None, "c", 1), ("u2", None, "", 1)], "user_id string, labels string, comment string, position int"))
+    e.insert_items(spark.createDataFrame([(f"i{k:02d}", False, ["x"], dt.datetime(2014, 1, 1) + dt.timedelta(hours=k), None, "") for k in range(40)], ITEMS))
+    e.insert_feedback(spark.createDataFrame([("like", "u1", f"i{k:02d}", 1.0, dt.datetime(2014, 1, 2), dt.datetime(2014, 1, 2), "") for k in range(12, 40)], FEEDBACK))
+    other = Engine(spark, str(tmp_path / "e"), "2014-01-10 00:00:00")
+    assert rows(other.table("users"), "user_id", "comment") == [("u1", "c"), ("u2", "")]
+    top = {u: [r["item_id"] for r in other.recommend([], 3).where(F.col("user_id") == u).orderBy("rank").collect()] for u in ("u1", "u2")}
+    assert top == {"u1": ["i11", "i10", "i09"], "u2": ["i39", "i38", "i37"]}
+    other.set_value("a", "1")
+    other.set_value("a", "2")
+    assert e.get_value("a") == "2" and e.get_value("b") is None
+    e.delete_value("a")
+    assert other.get_value("a") is None
+    e.add_scores(spark.createDataFrame([("item-to-item", "near/i00", "i05", 1.0, False, ["x"], dt.datetime(2014, 1, 1)), ("item-to-item", "near/i00", "gone", 2.0, False, ["x"], dt.datetime(2014, 1, 1))], SCORES))
+    assert rows(other.neighbours("item-to-item", "near", "i00"), "item_id", "score") == [("i05", 1.0)]
+    other.export_lines("items", str(tmp_path / "items"))
+    third = Engine(spark, str(tmp_path / "third"), "2014-01-10 00:00:00")
+    assert third.import_lines("items", str(tmp_path / "items")) == 0 and third.table("items").count() == 40
+    third.purge()
+    assert third.table("items").count() == 0 and not (tmp_path / "third" / "items").exists()
+
+
+def test_versions_keep_two(spark, tmp_path):
+    from skein.sources.versions import Versions
+
+    v = Versions(spark, str(tmp_path / "t"))
+    assert v.load() is None and v.parts() == {}
+    for k in range(4):
+        v.replace(spark.range(k))
+    v.append(spark.range(2))
+    assert v.versions() == [4, 5] and v.load().count() == 5 and v._listed("data") and len(v._listed("data")) == 2
+
+
+def test_sql_store(spark, rows, tmp_path):
+    """Written, read and merged by JDBC in the store that comes with Spark."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    files.write_jdbc(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), url, "t", "overwrite", createTableColumnTypes="id VARCHAR(20), n INT", **driver)
+    files.upsert_jdbc(spark.createDataFrame([("b", 5, 2), ("b", 3, 1), ("c", 4, 1)], "id string, n int, o int"), url, "t", ["id"], [F.asc("o")], **driver)
+    assert rows(files.read_jdbc(spark, url, "t", **driver)) == [("a", 1), ("b", 3), ("c", 4)]

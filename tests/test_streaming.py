@@ -43,3 +43,14 @@ def test_windows_sessions_and_marks(spark, rows, tmp_path):
     assert st.visible_now(stream()).isStreaming
     closed = run(st.sessions(stream()), spark, "closed", "append")
     assert closed.columns == ["user_id", "start", "end", "n"]
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, rows, tmp_path):
+    target = st.MergedTable(spark, str(tmp_path / "merged"), buckets=8)
+    write(spark, tmp_path / "one", [("like", f"u{k}", "i", 1.0, T) for k in range(60)])
+    write(spark, tmp_path / "two", [("like", "u7", "i", 2.0, T)])
+    for n, name in enumerate(("one", "two")):
+        target.merge(spark.read.schema(FB).parquet(str(tmp_path / name)), n)
+    first, second = target.parts(0), target.parts(1)
+    assert len(first) == 8 and sum(first[b] != second[b] for b in first) == 1
+    assert ("u7", 3.0) in rows(target.load(), "user_id", "value") and target.load().count() == 60
