@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.ids import clean_id
 from skein.lineage import Scratch
+from skein.operators.hot_keys import salted_join
 
 WHOLE = 2000  # baskets up to so many items are one item block
 PAIRS_AT_ONCE = 4_000_000
@@ -79,8 +80,8 @@ def together(baskets: DataFrame, min_count: int = 5, min_lift: float = 5.0, whol
     counted = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     limit = int(n / min_lift + 1e-9)
     items = scratch.cut(counted.where(F.col("n") >= min_count).withColumn("code", F.monotonically_increasing_id()))
-    hot = [r["item"] for r in items.where(F.col("n") > limit).limit(HOT_LISTED).collect()]  # spares the join the largest keys; what isn't listed goes in it
-    kept = (rows.where(~F.col("item").isin(hot)) if hot else rows).join(items.where(F.col("n") <= limit).select("item", "code"), "item").select("k1", "k2", "code")
+    hot = [r["item"] for r in items.where(F.col("n") > limit).orderBy(F.desc("n"), "item").limit(HOT_LISTED).collect()]  # spares the join the largest keys; what isn't listed goes in it
+    kept = salted_join(rows.where(~F.col("item").isin(hot)) if hot else rows, items.where(F.col("n") <= limit).select("item", "code"), "item").select("k1", "k2", "code")
     none = F.array().cast("array<bigint>")
     if total["most"] <= whole:
         records = kept.groupBy("k1", "k2").agg(F.collect_list("code").alias("left")).where("size(left) > 1").select("left", none.alias("right"))

@@ -108,6 +108,15 @@ r AS (SELECT item_a, item_b, n_ab, ma.c AS n_a, mb.c AS n_b, n.n AS n_baskets, r
       FROM p JOIN m ma ON ma.i = item_a JOIN m mb ON mb.i = item_b, n WHERE n_ab * n.n >= 5 * ma.c * mb.c)
 """
 
+_USABLE = "len({v}) = {n} AND trim({i}) <> '' AND len(list_filter({v}, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0"
+
+_NEAR = f"""
+WITH v AS (SELECT 'vector' AS space, trim(item_id) AS id, min(vector)::DOUBLE[] AS x FROM item_embeddings WHERE {_USABLE.format(v='vector', n=64, i='item_id')} GROUP BY 1, 2
+  UNION ALL SELECT trim(side), trim(id), min(data)::DOUBLE[] FROM latent_factors WHERE trim(side) IN ('user', 'item') AND {_USABLE.format(v='data', n=48, i='id')} GROUP BY 1, 2),
+h AS (SELECT a.space, a.id, b.id AS other, round(list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))), 12) AS cosine FROM v a JOIN v b ON a.space = b.space AND a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY space, id ORDER BY cosine DESC, other) AS rank FROM h)
+"""
+
 SQL = {
     "p4_found": _SETS + "SELECT x AS item_a, y AS item_b FROM p",
     "p4_classes": _SETS + """,
@@ -127,5 +136,9 @@ o AS (SELECT mix_name, text, arg_min(c.source, doc_id) AS source FROM c JOIN t O
 n AS (SELECT mix_name, source, count(*) AS texts FROM o GROUP BY 1, 2)
 SELECT t.mix_name, t.source, round(t.share / sum(t.share) OVER (PARTITION BY t.mix_name), 6) AS target_share, t.max_repeats, coalesce(n.texts, 0) AS texts
 FROM t LEFT JOIN n ON n.mix_name = t.mix_name AND n.source = t.source""",
+    "p6_found": _NEAR + """
+SELECT DISTINCT space, least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE rank <= 5 AND cosine >= 0.9""",
+    "p6_neighbours": _NEAR + """
+SELECT id, other, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE space = 'vector' AND rank <= 5 AND TRY_CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 50 = 0""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -20,15 +20,23 @@ class Lists:
     """Parameters of the posting lists of one space."""
 
     rows: int = 250  # vectors wanted in a list
-    fit_rows: int = 20_000  # at most so many vectors are looked at to place the centroids
+    fit_rows: int = 200_000  # at most so many vectors are looked at to place the centroids, eight for each list
     copies: int = 4  # most lists that hold one vector
     copy_ratio: float = 1.15  # a list further than this times the nearest one doesn't get a copy
     probes: int = 10  # most lists searched for one vector
     probe_ratio: float = 1.25  # a list further than this times the nearest one isn't searched
+    probe_share: float = 0.0  # or so great a share of all lists, if that is more
     slice_rows: int = 4_000  # longer lists are searched in slices of about so many rows
 
+    def sample(self, count: int) -> int:
+        """How many of ``count`` vectors place the centroids: eight for each list, some thousands at least."""
+        return min(count, self.fit_rows, max(5_000, 8 * (count // self.rows + 1)))
 
-WIDE = Lists(probes=40, probe_ratio=2.0)  # for few queries that want neighbours of any distance
+    def wanted(self, count: int, sample: int) -> int:
+        return max(1, min(count // self.rows, sample // 8))
+
+
+WIDE = Lists(probes=40, probe_ratio=2.0, probe_share=1 / 16)  # for few queries that want neighbours of any distance
 
 
 def balanced_centroids(x: np.ndarray, wanted: int, seed: int = 5) -> np.ndarray:
@@ -68,9 +76,13 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray, degree: int = 16):
         self.c = centroids
         self.half = (centroids**2).sum(axis=1) / 2
-        near = centroids @ centroids.T - self.half
-        np.fill_diagonal(near, -np.inf)
-        self.links = np.argsort(-near, axis=1)[:, : min(degree, max(1, len(centroids) - 1))]
+        degree = min(degree, max(1, len(centroids) - 1))
+        self.links = np.zeros((len(centroids), degree), np.int64)
+        for i in range(0, len(centroids), 1000):
+            near = centroids[i : i + 1000] @ centroids.T - self.half
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = -np.inf
+            some = np.argpartition(-near, degree - 1, axis=1)[:, :degree] if degree < near.shape[1] else np.argsort(-near, axis=1)[:, :degree]
+            self.links[i : i + 1000] = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1), axis=1)
         # entry points: one in about sqrt(n) centroids, spread by taking them in an order along a direction
         order = np.argsort(centroids[:, 0], kind="stable")
         self.entries = order[:: max(1, int(math.sqrt(len(order)) / 2))]
@@ -129,7 +141,8 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, lists: Lists =
 
     ``vectors`` has ``id, vec``, each id once, vectors usable. Ids with equal vectors are one class while searching, so
     a vector that a third of the ids share is searched once; each member then gets its own neighbours. Centroids are
-    placed on at most ``lists.fit_rows`` vectors; every vector is then posted to its nearest list and to those nearly as
+    placed on eight vectors for each list, at most ``lists.fit_rows``: lists keep about ``lists.rows`` vectors up to
+    some six million, and beyond grow with the collection. Every vector is then posted to its nearest list and to those nearly as
     near, and searches the lists whose distance is within a ratio of the nearest. Cosines are exact, the set of
     neighbours is approximate. Long lists are searched in slices, so none is one task's. ``queries`` (``id``) limits
     who asks, never who is found. An empty table gives no rows.
@@ -145,15 +158,16 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, lists: Lists =
     count = classes.count()
     if not count:
         return spark.createDataFrame([], "id string, other string, cosine double, rank int")
-    sample = classes.select("vec").orderBy(F.xxhash64("vec")).limit(min(lists.fit_rows, count)).toPandas()
-    fitted = balanced_centroids(_unit(sample["vec"]), max(1, min(count // lists.rows, len(sample) // 8)))
+    sample = classes.select("vec").orderBy(F.xxhash64("vec")).limit(lists.sample(count)).toPandas()
+    fitted = balanced_centroids(_unit(sample["vec"]).astype(np.float32), lists.wanted(count, len(sample)))
     graph = spark.sparkContext.broadcast(CentroidGraph(fitted))  # at most fit_rows / 8 centroids
+    probes = max(lists.probes, math.ceil(lists.probe_share * len(fitted)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 1000):
                 part = batch.iloc[start : start + 1000]
-                found, far = graph.value.search(_unit(part["vec"]).astype(np.float32), lists.probes)
+                found, far = graph.value.search(_unit(part["vec"]).astype(np.float32), probes, rounds=12 + probes // 8)
                 first = far[:, :1] + 1e-9
                 yield pd.DataFrame({
                     "cid": part["cid"], "vec": part["vec"],

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm.vectors import CentroidGraph, Lists, alike_pairs, balanced_centroids, nearest, usable
 
@@ -76,3 +77,24 @@ def test_graph_finds_the_nearest_centroids():
 def test_tiny(spark, n):
     df = spark.createDataFrame([(f"v{i}", [1.0, float(i)]) for i in range(n)], "id string, vec array<float>")
     assert nearest(df, 5).count() == n * (n - 1)
+
+
+@pytest.mark.parametrize("n", [1500, 12000])
+def test_recall_at_any_distance_does_not_fall_with_size(spark, n):
+    """Lists of about 40 vectors, so 37 and 300 of them; every fiftieth vector asks all."""
+    ids, x = clustered(n, 16, n)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, vec array<float>")
+    asked = ids[::50]
+    got = {(r["id"], r["other"]) for r in nearest(df, 5, lists=Lists(rows=40, probes=10, probe_ratio=2.0, probe_share=1 / 8), queries=df.select("id").where(F.col("id").isin(asked))).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = set()
+    for r in range(0, n, 50):
+        s = u @ u[r]
+        s[r] = -2
+        want |= {(ids[r], ids[c]) for c in np.argsort(-s)[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_lists_follow_the_collection():
+    for count, lists in ((1_000, 4), (100_000, 400), (2_500_000, 10_000), (6_000_000, 24_000), (600_000_000, 25_000)):
+        assert Lists().wanted(count, Lists().sample(count)) == lists
