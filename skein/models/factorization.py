@@ -30,12 +30,17 @@ def als(interactions: DataFrame, factors: int = 16, iterations: int = 10, reg: f
     return side("user", model.userFactors, users, "user_id").unionByName(side("item", model.itemFactors, items, "item_id"))
 
 
-def bpr(interactions: DataFrame, factors: int = 16, rounds: int = 6, epochs: int = 4, rate: float = 0.05, reg: float = 0.01, seed: int = 0, block_rows: int = 1_000_000) -> DataFrame:
+def bpr(
+    interactions: DataFrame, factors: int = 16, rounds: int = 6, epochs: int = 4, rate: float = 0.05, reg: float = 0.01, seed: int = 0, block_rows: int = 1_000_000,
+    score: Callable[[DataFrame], float] | None = None, patience: int = 2,
+) -> DataFrame:
     """``kind, id, vector`` by pairwise ranking (MD1).
 
     Users are hashed into blocks of about ``block_rows`` interactions. In a round each block runs stochastic updates
     on its users and its own copy of the items they touch, with negatives from the block; then the copies of an item
-    are averaged by use. A block and the factors in it fit a task, whatever the number of users and items.
+    are averaged by use. A block and the factors in it fit a task, whatever the number of users and items. With
+    ``score`` the factors are scored after each round, rounds end when the best are ``patience`` rounds old, and the
+    best are given (MD5).
     """
     scratch = Scratch(interactions.sparkSession, "bpr")
     rows = interactions.select("user_id", "item_id").distinct()
@@ -87,15 +92,32 @@ def bpr(interactions: DataFrame, factors: int = 16, rounds: int = 6, epochs: int
     def turned(turn: int) -> Callable:
         return lambda edges, held: train(edges, held, turn)
 
-    for turn in range(rounds):
+    def turn_of(turn: int) -> float:
+        nonlocal state
         made = rows.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(turned(turn), f"block int, {FACTORS}, uses double")
-        made = scratch.cut(made)
+        made, path = scratch.write(made)
         parts = made.where("kind = 'item'").select("id", "uses", F.posexplode("vector").alias("k", "x"))
         mean = parts.groupBy("id", "k").agg((F.sum(F.col("x") * F.col("uses")) / F.sum("uses")).cast("float").alias("x"))
         mean = mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vector"))
         items = copies.join(mean, "id").select("block", "kind", "id", "vector")
-        state = scratch.cut(made.where("kind = 'user'").select("block", "kind", "id", "vector").unionByName(items))
-    return state.where("kind = 'user'").select("kind", "id", "vector").unionByName(state.where("kind = 'item'").select("kind", "id", "vector").dropDuplicates(["kind", "id"]))
+        state, kept = scratch.write(made.where("kind = 'user'").select("block", "kind", "id", "vector").unionByName(items))
+        scratch.drop(path)
+        value = score(told(state)) if score else float(turn)
+        if not turns or value > max(turns):
+            best.append((state, kept))
+            for _, old in best[:-1]:
+                scratch.drop(old)  # neither the best nor what the next round starts from
+            del best[:-1]
+        turns.append(value)
+        return value
+
+    def told(state: DataFrame) -> DataFrame:
+        return state.where("kind = 'user'").select("kind", "id", "vector").unionByName(state.where("kind = 'item'").select("kind", "id", "vector").dropDuplicates(["kind", "id"]))
+
+    turns: list[float] = []
+    best: list[tuple[DataFrame, str]] = []
+    early_stopped(lambda epoch: turn_of(epoch - 1), rounds, patience if score else rounds + 1)
+    return told(best[-1][0])
 
 
 def predict(pairs: DataFrame, factors: DataFrame) -> DataFrame:
@@ -113,6 +135,31 @@ def predictable(ids: DataFrame, interactions: DataFrame, key: str) -> DataFrame:
     return ids.select(key).join(known, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("predictable"))
 
 
+def ndcg(factors: DataFrame, train: DataFrame, test: DataFrame, k: int = 10) -> float:
+    """NDCG at ``k`` of all items that a user hasn't in ``train``, against those in ``test``."""
+    from skein.operators.evaluate import ranking_metrics
+    from skein.operators.recommend import inner_product_candidates
+
+    side = lambda kind: factors.where(F.col("kind") == kind).select("id", "vector")
+    items = side("item").select(F.col("id").alias("item_id"), F.lit(False).alias("is_hidden"))
+    users = side("user").join(test.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
+    lists = inner_product_candidates(users, side("item"), k, train.select("user_id", "item_id"), items)
+    return float(ranking_metrics(lists, test.select("user_id", "item_id").distinct(), k).first()["ndcg"] or 0.0)
+
+
+def searched_bpr(train: DataFrame, test: DataFrame, space: dict[str, tuple | list], trials: int = 10, rounds: int = 6, patience: int = 2, seed: int = 0) -> tuple[DataFrame, dict, float]:
+    """Factors, parameters and NDCG of the best of ``trials`` parameter sets, each fitted with early stopping (MD5, MD6)."""
+    kept: dict[str, tuple[DataFrame, float]] = {}
+
+    def objective(params: dict) -> float:
+        made = bpr(train, rounds=rounds, patience=patience, seed=seed, score=lambda f: ndcg(f, train, test), **params)
+        kept[repr(params)] = made, ndcg(made, train, test)
+        return kept[repr(params)][1]
+
+    params, value = search(space, objective, trials, seed)
+    return kept[repr(params)][0], params, value
+
+
 def early_stopped(step: Callable[[int], float], epochs: int, patience: int) -> tuple[int, float]:
     """Run ``step(epoch)``, which gives a score, until the best is ``patience`` epochs old (MD5)."""
     best, at = -np.inf, 0

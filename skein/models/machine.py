@@ -42,7 +42,7 @@ def to_vectors(df: DataFrame, dims: int = DIMS) -> DataFrame:
             total[p["i"]] = total.get(p["i"], 0.0) + p["w"]
         return Vectors.sparse(dims, {i: w for i, w in total.items() if w})
 
-    return df.withColumn("features", F.udf(run, VectorUDT())("pairs")).withColumn("label", (F.col("target") > 0).cast("double"))
+    return df.withColumn("features", F.udf(run, VectorUDT(), useArrow=True)("pairs")).withColumn("label", (F.col("target") > 0).cast("double"))
 
 
 def train_fm(train: DataFrame, factors: int = 8, iterations: int = 20, rate: float = 0.05, reg: float = 0.0002, seed: int = 0):
@@ -60,7 +60,10 @@ def scores(model, rows: DataFrame) -> DataFrame:
 
 
 class AttentiveMachine:
-    """``b + sum w x + 1/2 sum((V x)^2 - V^2 x^2) + sum_e <V x, Linear(Attention(e))>`` on padded rows of (position, value) (MD7)."""
+    """``b + sum w x + 1/2 sum((V x)^2 - V^2 x^2) + sum_e <V x, Linear(Attention(e))>`` on padded rows of (position, value) (MD7).
+
+    ``fit`` is NumPy on the driver, for a bounded sample of rows; ``transform`` scores tables of any size.
+    """
 
     def __init__(self, dims: int, factors: int = 16, embedding: int = 0, seed: int = 0):
         rng = np.random.default_rng(seed)

@@ -30,7 +30,7 @@ def sessionize(df: DataFrame, key: str = "user_id", time: str = "timestamp", gap
         raise ValueError("gap_us must be positive")
     scratch = Scratch(df.sparkSession, "sessions")
     events = df.select(clean_id(f"`{key}`").alias("key_id"), micros(df, time).alias("t")).where("key_id is not null and t is not null")
-    nodes = scratch.cut(
+    nodes, path = scratch.write(
         events.groupBy("key_id", F.expr(f"(t - pmod(t, {gap_us}L)) div {gap_us}L").alias("slot"))
         .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
     )
@@ -38,6 +38,7 @@ def sessionize(df: DataFrame, key: str = "user_id", time: str = "timestamp", gap
     linked = nodes.join(before, ["key_id", "slot"], "left").withColumn("root", F.coalesce(F.col("lo") - F.col("before") > gap_us, F.lit(True)))
     fields = ["key_id", "slot", "ptr", "done", "lo", "hi", "n"]
     latest = scratch.cut(linked.withColumn("ptr", F.when(F.col("root"), F.col("slot")).otherwise(F.col("slot") - 1)).withColumn("done", F.col("root")).select(fields))
+    scratch.drop(path)
     settled = [latest.where("done")]
     while True:
         pending = latest.where("not done")

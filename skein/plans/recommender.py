@@ -503,14 +503,14 @@ def _top_factors(s: S, d: D, made: DataFrame) -> DataFrame:
 def md2_als_candidates(s: S, d: D) -> DataFrame:
     from skein.models.factorization import als
 
-    return _top_factors(s, d, als(liked(s, d).select("user_id", "item_id"), 16, 5))
+    return _top_factors(s, d, als(liked(s, d).select("user_id", "item_id")))
 
 
 @query()
 def md1_bpr_candidates(s: S, d: D) -> DataFrame:
     from skein.models.factorization import bpr
 
-    return _top_factors(s, d, bpr(liked(s, d).select("user_id", "item_id"), 16, 2, 3))
+    return _top_factors(s, d, bpr(liked(s, d).select("user_id", "item_id")))
 
 
 def click_features(s: S, d: D) -> tuple[DataFrame, int]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.models.factorization import als, bpr, early_stopped, predict, search
+from skein.models.factorization import als, bpr, early_stopped, ndcg, predict, search, searched_bpr
 from skein.models.machine import AttentiveMachine, hashed_features, padded
 from skein.models.tensor import Attention, Linear, Sgd, Tensor, bce_with_logits, mse, softmax_cross_entropy
 
@@ -128,3 +128,16 @@ def test_attention_counts_when_scoring(spark, tmp_path):
     plain = AttentiveMachine(64, 4)
     plain.w.data = rng.normal(size=plain.w.data.shape)
     assert np.isclose({r["user_id"]: r["score"] for r in plain.transform(df).collect()}["u4"], sum(w * plain.w.data[i, 0] for i, w in data[4][2]), atol=0.02)
+
+
+def test_search_with_early_stopping(spark):
+    """Users like the items of their own parity; the better of two ranks is found, and a stopped fit gives its best round."""
+    pairs = [(f"u{u:02d}", f"i{i:02d}") for u in range(24) for i in range(16) if u % 2 == i % 2]
+    test = spark.createDataFrame([p for k, p in enumerate(pairs) if k % 7 == 0], "user_id string, item_id string")
+    train = spark.createDataFrame([p for k, p in enumerate(pairs) if k % 7], "user_id string, item_id string")
+    seen = []
+    made = bpr(train, 4, rounds=8, epochs=2, rate=0.3, patience=2, score=lambda f: seen.append(ndcg(f, train, test)) or seen[-1])
+    best = int(np.argmax(seen)) + 1
+    assert len(seen) == min(8, best + 2) and ndcg(made, train, test) == max(seen)
+    _, params, value = searched_bpr(train, test, {"factors": [1, 4], "rate": (0.05, 0.5)}, trials=2, rounds=2)
+    assert set(params) == {"factors", "rate"} and 0 <= value <= 1
