@@ -83,6 +83,29 @@ def delete_value(meta: DataFrame, name: str) -> DataFrame:
     return meta.where(~F.col("name").eqNullSafe(F.lit(name)))
 
 
+def announce(nodes: DataFrame, batch: DataFrame) -> DataFrame:
+    """``uuid, kind, host, updated`` of the service's nodes after some have told that they run; the latest word of a node counts (SK16)."""
+    others = [c for c in nodes.columns if c != "uuid"]
+    last = F.max_by(F.struct(*others), F.struct("updated", "kind", "host"))
+    return nodes.unionByName(batch).groupBy("uuid").agg(last.alias("r")).select("uuid", *[F.col(f"r.{c}") for c in others])
+
+
+def running(nodes: DataFrame, as_of: str, ttl_s: int) -> DataFrame:
+    """Nodes heard of less than ``ttl_s`` before ``as_of`` (SK16)."""
+    return nodes.where(F.col("updated") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"make_dt_interval(0, 0, 0, {ttl_s})"))
+
+
+def tag(category: Column) -> Column:
+    """A category as the token of a store that splits tags at most signs: Base64 of ``_`` and the category, without padding (CA11)."""
+    return F.rtrim(F.base64(F.encode(F.concat(F.lit("_"), category), "UTF-8")), F.lit("="))
+
+
+def untag(token: Column) -> Column:
+    """The category of a ``tag`` (CA11)."""
+    whole = F.rpad(token, F.length(token) + F.pmod(-F.length(token), F.lit(4)), F.lit("="))
+    return F.substr(F.decode(F.unbase64(whole), "UTF-8"), F.lit(2))
+
+
 def push(queue: DataFrame, batch: DataFrame) -> DataFrame:
     """``name, value, timestamp`` of distinct values; pushing again refreshes the time (CA7)."""
     return queue.unionByName(batch).groupBy("name", "value").agg(F.max("timestamp").alias("timestamp"))

@@ -70,7 +70,7 @@ def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hi
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         return _meet(group, number, n)
 
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, score double")
+    found = _spread(left.unionByName(right), blocks * blocks, "i", "j").groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, score double")
     ranked = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
@@ -172,6 +172,11 @@ def _blocks(rows: int) -> int:
     return max(1, -(-rows // VECTOR_ROWS), min(3, rows // 1000))
 
 
+def _spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Few bytes that mean much work, in as many tasks as cores can use: tasks of a fixed number aren't merged by their size."""
+    return df.repartition(max(1, min(groups, 4 * df.sparkSession.sparkContext.defaultParallelism)), *keys)
+
+
 def vector_neighbours(vectors: DataFrame, n: int, metric: str = "euclidean", queries: DataFrame | None = None, hidden: DataFrame | None = None, blocks: int | None = None, prune_zero: bool = True) -> DataFrame:
     """``id, neighbour, distance, rank``: exact nearest vectors of each query, in blocks (RC3, RC10, JN8, JN9, AN2, VE3).
 
@@ -199,7 +204,7 @@ def vector_neighbours(vectors: DataFrame, n: int, metric: str = "euclidean", que
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": object, "neighbour": object, "distance": float})
         return _nearest_in_block(q, x, n, metric, same, prune_zero)
 
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, distance double")
+    found = _spread(left.unionByName(right), rows * cols, "i", "j").groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, distance double")
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(best))
     if "more" not in ask.columns:
@@ -260,7 +265,8 @@ def hashed_neighbours(vectors: DataFrame, n: int, tables: int = 8, bucket_rows:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": object, "neighbour": object, "distance": float})
         return _nearest_in_block(q, x, n, metric, True, True)
 
-    found = asks.unionByName(held).groupBy("t", "code", "i", "j").applyInPandas(meet, "id string, neighbour string, distance double").groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+    groups = tables * (1 << bits) * max(1, count // (2 * bucket_rows)) ** 2
+    found = _spread(asks.unionByName(held), groups, "t", "code", "i", "j").groupBy("t", "code", "i", "j").applyInPandas(meet, "id string, neighbour string, distance double").groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 

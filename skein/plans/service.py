@@ -196,6 +196,34 @@ def ca16_digests(s: S, d: D) -> DataFrame:
     return items(s, d).select("item_id", cache.digests(F.col("categories")).alias("digest"))
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS uuid, max((ts, event_type)) AS last FROM events GROUP BY 1) SELECT uuid, last[2] AS kind, last[1] AS updated FROM e WHERE last[1] > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 86400 SECOND""")
+def sk16_running_nodes(s: S, d: D) -> DataFrame:
+    """Users of the event stream as nodes: those heard of within a day."""
+    rows = table(s, d, "events").select(F.col("user_id").cast("string").alias("uuid"), F.col("event_type").alias("kind"), F.lit("").alias("host"), F.col("ts").cast("timestamp_ntz").alias("updated"))
+    return cache.running(cache.announce(rows.limit(0), rows), "2024-01-25 00:00:00", 86_400).select("uuid", "kind", "updated")
+
+
+@query("SELECT DISTINCT c AS category, rtrim(to_base64(encode('_' || c)), '=') AS tag, true AS back FROM (SELECT unnest(categories) AS c FROM i)", "i")
+def ca11_tags(s: S, d: D) -> DataFrame:
+    """Categories as tags, and whether each comes back from its tag."""
+    rows = items(s, d).select(F.explode("categories").alias("category")).distinct().withColumn("tag", cache.tag(F.col("category")))
+    return rows.withColumn("back", cache.untag(F.col("tag")) == F.col("category"))
+
+
+@query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1", "c")
+def sk15_blobs(s: S, d: D) -> DataFrame:
+    """A small table as a named file, written, replaced and read again."""
+    import json
+
+    from skein.sources.blobs import Blobs
+
+    store = Blobs(s, Scratch(s, "blobs").root)
+    counts = {r["kind"]: r["n"] for r in classified(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    store.write("models/counts.json", b"{}")
+    store.write("models/counts.json", json.dumps(counts).encode())
+    return s.createDataFrame(sorted(json.loads(store.read("models/counts.json")).items()), "kind string, n long")
+
+
 # predicates, labels, joins
 
 

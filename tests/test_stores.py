@@ -171,3 +171,32 @@ def test_sql_store(spark, rows, tmp_path):
     files.write_jdbc(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), url, "t", "overwrite", createTableColumnTypes="id VARCHAR(20), n INT", **driver)
     files.upsert_jdbc(spark.createDataFrame([("b", 5, 2), ("b", 3, 1), ("c", 4, 1)], "id string, n int, o int"), url, "t", ["id"], [F.asc("o")], **driver)
     assert rows(files.read_jdbc(spark, url, "t", **driver)) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_blobs_and_the_store_that_is_not_there(spark, tmp_path):
+    from skein.sources.blobs import Blobs, NoStore
+
+    store = Blobs(spark, str(tmp_path / "blobs"))
+    assert store.names() == []
+    store.write("a/model.bin", bytes(range(256)))
+    store.write("b", b"")
+    store.write("b", b"new")
+    assert store.names() == ["a/model.bin", "b"] and store.read("a/model.bin") == bytes(range(256)) and store.read("b") == b"new"
+    store.remove("b")
+    store.remove("b")
+    assert store.names() == ["a/model.bin"]
+    with pytest.raises(FileNotFoundError):
+        store.read("b")
+    with pytest.raises(LookupError):
+        NoStore().insert_users([])
+
+
+def test_nodes_and_tags(spark, rows):
+    at = lambda h: dt.datetime(2014, 1, 1, h)
+    kind = "uuid string, kind string, host string, updated timestamp_ntz"
+    nodes = cache.announce(spark.createDataFrame([("a", "server", "h", at(1)), ("b", "worker", "h", at(2))], kind), spark.createDataFrame([("a", "server", "g", at(5)), ("a", "server", "h", at(4))], kind))
+    assert rows(nodes, "uuid", "host") == [("a", "g"), ("b", "h")] and rows(cache.running(nodes, "2014-01-01 06:00:00", 3600), "uuid") == [("a",)]
+    words = spark.createDataFrame([("",), ("a",), ("ab",), ("abc",), ("?>?>~~",), ("日本",), (None,)], "w string")
+    back = words.select("w", cache.tag(F.col("w")).alias("t")).withColumn("b", cache.untag(F.col("t")))
+    assert back.where("not (w <=> b)").count() == 0 and back.where("t rlike '[^A-Za-z0-9+/]'").count() == 0
+
