@@ -263,9 +263,9 @@ def pr14_label_vectors(s: S, d: D) -> DataFrame:
     return found.select("id", "name", F.size("vector").cast("bigint").alias("n"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("SELECT trim(item_id) AS item_id, labels.price IS NULL OR labels.brand IS NULL AS valid FROM items")
+@query("SELECT trim(item_id) AS item_id, (labels.price IS NULL OR labels.brand IS NULL) AND coalesce(len(list_filter(labels.tags, lambda x: x IS NULL)), 0) = 0 AS valid FROM items")
 def pr18_valid_labels(s: S, d: D) -> DataFrame:
-    """Labels as JSON: a list of a price and a brand is no valid label, anything else here is."""
+    """Labels as JSON: a list of a price and a brand is no valid label, nor is a list with a null; anything else here is."""
     import json
 
     both = F.col("labels.price").isNotNull() & F.col("labels.brand").isNotNull()

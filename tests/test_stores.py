@@ -195,7 +195,7 @@ def test_nodes_and_tags(spark, rows):
     at = lambda h: dt.datetime(2014, 1, 1, h)
     kind = "uuid string, kind string, host string, updated timestamp_ntz"
     nodes = cache.announce(spark.createDataFrame([("a", "server", "h", at(1)), ("b", "worker", "h", at(2))], kind), spark.createDataFrame([("a", "server", "g", at(5)), ("a", "server", "h", at(4))], kind))
-    assert rows(nodes, "uuid", "host") == [("a", "g"), ("b", "h")] and rows(cache.running(nodes, "2014-01-01 06:00:00", 3600), "uuid") == [("a",)]
+    assert rows(nodes, "uuid", "host") == [("a", "g"), ("b", "h")] and rows(cache.running(nodes, "2014-01-01 06:00:00", 3601), "uuid") == [("a",)]
     words = spark.createDataFrame([("",), ("a",), ("ab",), ("abc",), ("?>?>~~",), ("日本",), (None,)], "w string")
     back = words.select("w", cache.tag(F.col("w")).alias("t")).withColumn("b", cache.untag(F.col("t")))
     assert back.where("not (w <=> b)").count() == 0 and back.where("t rlike '[^A-Za-z0-9+/]'").count() == 0
