@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SHRINK = 100
 VECTOR_ROWS = 20_000  # vectors of a block
-BLOCK_ROWS = 200_000  # token rows of a block of ids
+BLOCK_ROWS = 400_000  # token rows of a block of ids
 CELLS = 4_000_000  # of a product of blocks that are worked on at once
 POSTING = 2000  # a token's posting list is joined in pieces of about so many ids
 
@@ -41,30 +41,42 @@ def token_pairs(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.select("a", "b", idf_distance(*[F.col(c) for c in ("common_idf", "common", "idf_a", "idf_b", "size_a", "size_b")]).alias("distance"))
 
 
-def token_neighbours(tokens: DataFrame, weights: DataFrame, n: int, hidden: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def token_neighbours(tokens: DataFrame, weights: DataFrame, n: int, hidden: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
     """What ``neighbours(token_pairs(tokens, weights), n, hidden)`` gives, without a table of pairs (RC4, RC5, RC8 to RC11)."""
     return shared_token_neighbours([(tokens, weights)], n, hidden, block_rows)
 
 
-def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hidden: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hidden: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
     """``id, neighbour, score, rank``: the ``n`` nearest by the mean distance over ``kinds`` of tokens (RC4 to RC6, RC10).
 
     Each kind is (``id, token`` distinct, ``token, idf``). Only ids that share a token of some kind are near. Of a
-    kind, ids that share nothing are 1 apart, and 0 if neither has any token of it. Ids are hashed into blocks of about
-    ``block_rows`` token rows; two blocks meet as a product of sparse matrices in one task, and only the ``n`` best of
-    a block go on: terms that very many ids have cost arithmetic there, not shuffled pairs. Where few cells of a
-    product are met only those are listed. The tokens of one id must fit a task.
+    kind, ids that share nothing are 1 apart, and 0 if neither has any token of it. Ids are hashed into blocks of at most
+    about ``block_rows`` token rows, and of smaller tables into enough for all cores. A token row goes to those blocks that have its token, with the size and weight of its
+    id, so rare tokens are sent to few blocks however many there are; only tokens of very many ids go to all. Two
+    blocks meet as a product of sparse matrices in one task, and only the ``n`` best of a block go on: terms that very
+    many ids have cost arithmetic there, not shuffled pairs. Where few cells of a product are met only those are
+    listed. The tokens of one id must fit a task.
     """
     held = None
     for kind, (tokens, weights) in enumerate(kinds):
         part = tokens.join(weights.select("token", "idf"), "token").select("id", F.lit(kind).alias("kind"), F.xxhash64("token").alias("token"), "idf")
         held = part if held is None else held.unionByName(part)
-    blocks = max(1, -(-sum(tokens.count() for tokens, _ in kinds) // block_rows))
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = held.select("id", "kind", "token", "idf", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    rows = sum(tokens.count() for tokens, _ in kinds)
+    blocks = max(1, -(-rows // (block_rows or BLOCK_ROWS)), 0 if block_rows else min(16, rows // 20_000))
+    of = lambda k: F.col("kind") == k
+    own = held.groupBy("id").agg(*[x for k in range(len(kinds)) for x in (F.count_if(of(k)).alias(f"size_{k}"), F.coalesce(F.sum(F.when(of(k), F.col("idf"))), F.lit(0.0)).alias(f"total_{k}"))])
+    held = held.join(own, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     shown = held if hidden is None else held.join(hidden.select("id").distinct(), "id", "left_anti")
-    right = shown.select("id", "kind", "token", "idf", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
+    columns = ["id", "kind", "token", "idf", *own.drop("id").columns]
+
+    def sent(rows: DataFrame, others: DataFrame, mine: str, theirs: str, asks: bool) -> DataFrame:
+        if blocks == 1:
+            return rows.select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(asks).alias("asks"))
+        where = others.groupBy("kind", "token").agg(F.collect_set("block").alias("_to"))  # at most the blocks
+        met = rows.join(where, ["kind", "token"]).select(*columns, F.col("block").alias(mine), F.explode("_to").alias(theirs), F.lit(asks).alias("asks"))
+        return met.select(*columns, "i", "j", "asks")
+
+    left, right = sent(held, shown, "i", "j", True), sent(shown, held, "j", "i", False)
     number = len(kinds)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -82,12 +94,14 @@ class _Side:
         self.ids, code = np.unique(part["id"].to_numpy(), return_inverse=True)
         self.rows, self.size, self.total = [], [], []
         kind, token, idf = part["kind"].to_numpy(), part["token"].to_numpy(), part["idf"].to_numpy()
+        first = np.zeros(len(self.ids), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
         for k in range(kinds):
             own = np.flatnonzero(kind == k)
             own = own[np.argsort(code[own], kind="stable")]
             self.rows.append((code[own], token[own], idf[own]))
-            self.size.append(np.bincount(code[own], minlength=len(self.ids)))
-            self.total.append(np.bincount(code[own], idf[own], len(self.ids)))
+            self.size.append(part[f"size_{k}"].to_numpy()[first])
+            self.total.append(part[f"total_{k}"].to_numpy()[first])
 
 
 def _meet(group: pd.DataFrame, kinds: int, n: int) -> pd.DataFrame:
