@@ -62,7 +62,7 @@ def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hi
         part = tokens.join(weights.select("token", "idf"), "token").select("id", F.lit(kind).alias("kind"), F.xxhash64("token").alias("token"), "idf")
         held = part if held is None else held.unionByName(part)
     rows = sum(tokens.count() for tokens, _ in kinds)
-    blocks = max(1, -(-rows // (block_rows or BLOCK_ROWS)), 0 if block_rows else min(16, rows // 20_000))
+    blocks = max(1, -(-rows // (block_rows or BLOCK_ROWS)), 0 if block_rows else min(16, rows // 4_000))
     of = lambda k: F.col("kind") == k
     own = held.groupBy("id").agg(*[x for k in range(len(kinds)) for x in (F.count_if(of(k)).alias(f"size_{k}"), F.coalesce(F.sum(F.when(of(k), F.col("idf"))), F.lit(0.0)).alias(f"total_{k}"))])
     held = held.join(own, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
