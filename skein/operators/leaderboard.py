@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.expressions import Compiler, checked
+from skein.lineage import Scratch
 from skein.operators.hot_keys import salted_join
 
 
@@ -16,11 +17,11 @@ def scored_items(items: DataFrame, feedback: DataFrame, as_of: str, score: str,
     for the join and combined there before it is shuffled by item. Null and NaN scores leave.
     """
     compiler = Compiler(as_of, grouped=True)
-    fb = feedback.select("item_id", *[F.col(c).alias(f"fb_{c}") for c in feedback.columns])
+    fb = Scratch(feedback.sparkSession, "feedback").cut(feedback).select("item_id", *[F.col(c).alias(f"fb_{c}") for c in feedback.columns])
     shown = items.where(~F.col("is_hidden"))
     met = salted_join(fb, shown, "item_id")
     # an item that no feedback meets has one row without any
-    bare = shown.join(feedback.select("item_id").distinct(), "item_id", "left_anti")
+    bare = shown.join(fb.select("item_id").distinct(), "item_id", "left_anti")
     joined = met.unionByName(bare, allowMissingColumns=True)
     others = [c for c in items.columns if c != "item_id"]
     first = [F.any_value(c).alias(c) for c in others]

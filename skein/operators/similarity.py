@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.lineage import Scratch
+
 SHRINK = 100
 VECTOR_ROWS = 20_000  # vectors of a block
 BLOCK_ROWS = 400_000  # token rows of a block of ids
@@ -61,7 +63,8 @@ def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hi
     for kind, (tokens, weights) in enumerate(kinds):
         part = tokens.join(weights.select("token", "idf"), "token").select("id", F.lit(kind).alias("kind"), F.xxhash64("token").alias("token"), "idf")
         held = part if held is None else held.unionByName(part)
-    rows = sum(tokens.count() for tokens, _ in kinds)
+    held = Scratch(held.sparkSession, "tokens").cut(held)
+    rows = held.count()
     blocks = max(1, -(-rows // (block_rows or BLOCK_ROWS)), 0 if block_rows else min(16, rows // 4_000))
     of = lambda k: F.col("kind") == k
     own = held.groupBy("id").agg(*[x for k in range(len(kinds)) for x in (F.count_if(of(k)).alias(f"size_{k}"), F.coalesce(F.sum(F.when(of(k), F.col("idf"))), F.lit(0.0)).alias(f"total_{k}"))])
