@@ -159,7 +159,7 @@ class Mixture:
         uses = placed.withColumn("use_no", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.col("wanted") / F.col("supply")), F.col("repeats")).cast("int") - 1)))
         uses = uses.withColumn("start", F.col("use_no") * F.col("supply") + F.col("at")).where("start + n_tokens <= wanted")
         keep = ["mix_name", "source", "doc_id", "n_tokens", "use_no", "start", "quantum"]
-        prefix = scratch.cut(uses.select(*keep))
+        prefix = uses.select(*keep)
         extra = self._extra(placed, prefix, todo)
         chosen = scratch.cut(prefix if extra is None else prefix.unionByName(extra.select(*keep)))
         chosen = chosen.withColumn("block_no", F.floor(F.col("start") / F.col("quantum")))
