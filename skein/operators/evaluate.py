@@ -180,6 +180,8 @@ def sample_negatives(users: DataFrame, items: DataFrame, known: DataFrame, n: in
     for r in range(4):
         cells = cells.withColumn("x", F.pmod(F.col("x") + F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * r), "user_id", "y"), F.lit(a)), F.lit(a)))
         cells = cells.withColumn("y", F.pmod(F.col("y") + F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * r + 1), "user_id", "x"), F.lit(b)), F.lit(b)))
-    drawn = cells.select("user_id", "draw", (F.col("x") * b + F.col("y")).alias("index"))
-    rows = drawn.join(numbered, "index").join(pairs, ["user_id", "item_id"], "left_anti")
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))).where(F.col("rn") <= n).select("user_id", "item_id")
+    drawn = cells.select("user_id", "draw", (F.col("x") * b + F.col("y")).alias("index")).where(F.col("index") < size)
+    # known items leave by their numbers, so only what is drawn for good meets the items
+    held = pairs.join(numbered, "item_id").select("user_id", "index")
+    rows = drawn.join(held, ["user_id", "index"], "left_anti").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))).where(F.col("rn") <= n)
+    return rows.select("user_id", "index").join(numbered, "index").select("user_id", "item_id")
