@@ -174,13 +174,21 @@ def sample_negatives(users: DataFrame, items: DataFrame, known: DataFrame, n: in
     pairs = known.select("user_id", "item_id").distinct()
     counts = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("known"))
     steps = F.least(F.lit(a * b), F.coalesce("known", F.lit(0)) + F.lit(n + a * b - size))
-    draws = users.select("user_id").distinct().join(counts, "user_id", "left").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), steps - 1)))
-    # a Feistel network on the grid: each round moves one coordinate by a hash of the other
-    cells = draws.select("user_id", "draw", F.floor(F.col("draw") / b).alias("x"), (F.col("draw") % b).alias("y"))
-    for r in range(4):
-        cells = cells.withColumn("x", F.pmod(F.col("x") + F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * r), "user_id", "y"), F.lit(a)), F.lit(a)))
-        cells = cells.withColumn("y", F.pmod(F.col("y") + F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * r + 1), "user_id", "x"), F.lit(b)), F.lit(b)))
-    drawn = cells.select("user_id", "draw", (F.col("x") * b + F.col("y")).alias("index")).where(F.col("index") < size)
+
+    def number(draw: Column) -> Column:
+        """A Feistel network on the grid: half rounds move one coordinate by a hash of the other, in turn."""
+
+        def half(at: Column, r: Column) -> Column:
+            x, y = at["x"], at["y"]
+            move = lambda z, by, size: F.pmod(z + F.pmod(F.xxhash64(F.lit(seed), r, "user_id", by), F.lit(size)), F.lit(size)).cast("bigint")
+            return F.struct(F.when(r % 2 == 0, move(x, y, a)).otherwise(x).alias("x"), F.when(r % 2 == 1, move(y, x, b)).otherwise(y).alias("y"))
+
+        start = F.struct(F.floor(draw / b).cast("bigint").alias("x"), (draw % b).cast("bigint").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, half, lambda at: at["x"] * b + at["y"])
+
+    # the numbers of a user's draws are made in the array that is exploded, so each is made once
+    draws = F.transform(F.sequence(F.lit(0).cast("bigint"), steps - 1), lambda d: F.struct(d.alias("draw"), number(d).alias("index")))
+    drawn = users.select("user_id").distinct().join(counts, "user_id", "left").select("user_id", F.explode(draws).alias("d")).select("user_id", "d.draw", "d.index").where(F.col("index") < size)
     # known items leave by their numbers, so only what is drawn for good meets the items
     held = pairs.join(numbered, "item_id").select("user_id", "index")
     rows = drawn.join(held, ["user_id", "index"], "left_anti").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))).where(F.col("rn") <= n)
