@@ -13,8 +13,11 @@ from skein.lineage import Scratch
 
 SHRINK = 100
 VECTOR_ROWS = 20_000  # vectors of a block
-BLOCK_ROWS = 400_000  # token rows of a block of ids
-CELLS = 4_000_000  # of a product of blocks that are worked on at once
+BLOCK_ROWS = 1_000_000  # token rows of a block of ids
+CELLS = 2_000_000  # rows of posting lists that are worked on at once
+LONG_LIST = 200  # a block's posting lists of more ids are read only as far as they may matter
+HEAD = 100  # so many ids of a long list are read before it is known how far it matters
+LONG_CELLS = 50_000_000  # at most so many bytes tell which ids are in long lists
 POSTING = 2000  # a token's posting list is joined in pieces of about so many ids
 
 
@@ -52,25 +55,35 @@ def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hi
     """``id, neighbour, score, rank``: the ``n`` nearest by the mean distance over ``kinds`` of tokens (RC4 to RC6, RC10).
 
     Each kind is (``id, token`` distinct, ``token, idf``). Only ids that share a token of some kind are near. Of a
-    kind, ids that share nothing are 1 apart, and 0 if neither has any token of it. Ids are hashed into blocks of at most
-    about ``block_rows`` token rows, and of smaller tables into enough for all cores. A token row goes to those blocks that have its token, with the size and weight of its
-    id, so rare tokens are sent to few blocks however many there are; only tokens of very many ids go to all. Two
-    blocks meet as a product of sparse matrices in one task, and only the ``n`` best of a block go on: terms that very
-    many ids have cost arithmetic there, not shuffled pairs. Where few cells of a product are met only those are
-    listed. The tokens of one id must fit a task.
+    kind, ids that share nothing are 1 apart, and 0 if neither has any token of it. Ids with the same tokens of all
+    kinds are 0 apart, so they are no neighbours, and have the same ones: they are one class, which is searched for
+    once and stands for its ``n`` first ids. Classes are hashed into blocks of at most about ``block_rows`` token rows,
+    and of smaller tables into enough for all cores. A token row goes to those blocks that have its token, with the size
+    and weight of its class, so rare tokens are sent to few blocks however many there are; only tokens of very many
+    classes go to all. Two blocks meet in one task, and only the ``n`` best of a block go on. There the short posting
+    lists are read whole; what shares only tokens of long ones is read as far as it may still be among the ``n`` best
+    (see ``_meet``). The tokens of one id must fit a task.
     """
     held = None
     for kind, (tokens, weights) in enumerate(kinds):
-        part = tokens.join(weights.select("token", "idf"), "token").select("id", F.lit(kind).alias("kind"), F.xxhash64("token").alias("token"), "idf")
+        part = tokens.join(weights.select("token", "idf"), "token").select("id", F.lit(kind).alias("kind"), F.xxhash64("token", F.lit(kind)).alias("token"), "idf")
         held = part if held is None else held.unionByName(part)
-    held = Scratch(held.sparkSession, "tokens").cut(held)
+    scratch = Scratch(held.sparkSession, "tokens")
+    held = scratch.cut(held)
+    of = lambda k: F.col("kind") == k
+    number = len(kinds)
+    own = [x for k in range(number) for x in (F.count_if(of(k)).alias(f"size_{k}"), F.coalesce(F.sum(F.when(of(k), F.col("idf"))), F.lit(0.0)).alias(f"total_{k}"))]
+    key = ["_x", "_y", *(f"size_{k}" for k in range(number))]  # 128 bits and the sizes tell sets of tokens apart
+    sets = scratch.cut(held.groupBy("id").agg(F.bit_xor(F.xxhash64("kind", "token")).alias("_x"), F.bit_xor(F.xxhash64("token", F.lit("y"), "kind")).alias("_y"), *own))
+    hides = sets.withColumn("_h", F.lit(False)) if hidden is None else sets.join(hidden.select("id").distinct().withColumn("_h", F.lit(True)), "id", "left").withColumn("_h", F.coalesce("_h", F.lit(False)))
+    # numbers in order of the first ids, by which ties are broken
+    classes = scratch.cut(hides.groupBy(*key).agg(F.min("id").alias("id"), F.min(F.when(~F.col("_h"), F.col("id"))).alias("first"), *[F.min_by(f"total_{k}", "id").alias(f"total_{k}") for k in range(number)]).orderBy(F.coalesce("first", "id")).withColumn("no", F.monotonically_increasing_id()))
+    held = held.join(classes.drop("_x", "_y"), "id").drop("id").withColumnRenamed("no", "id").withColumn("shown", F.col("first").isNotNull()).drop("first")
     rows = held.count()
     blocks = max(1, -(-rows // (block_rows or BLOCK_ROWS)), 0 if block_rows else min(16, rows // 4_000))
-    of = lambda k: F.col("kind") == k
-    own = held.groupBy("id").agg(*[x for k in range(len(kinds)) for x in (F.count_if(of(k)).alias(f"size_{k}"), F.coalesce(F.sum(F.when(of(k), F.col("idf"))), F.lit(0.0)).alias(f"total_{k}"))])
-    held = held.join(own, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    shown = held if hidden is None else held.join(hidden.select("id").distinct(), "id", "left_anti")
-    columns = ["id", "kind", "token", "idf", *own.drop("id").columns]
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    shown = held.where("shown")
+    columns = ["id", "kind", "token", "idf", *(f"{x}_{k}" for k in range(number) for x in ("size", "total"))]
 
     def sent(rows: DataFrame, others: DataFrame, mine: str, theirs: str, asks: bool) -> DataFrame:
         if blocks == 1:
@@ -80,83 +93,217 @@ def shared_token_neighbours(kinds: list[tuple[DataFrame, DataFrame]], n: int, hi
         return met.select(*columns, "i", "j", "asks")
 
     left, right = sent(held, shown, "i", "j", True), sent(shown, held, "j", "i", False)
-    number = len(kinds)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         return _meet(group, number, n)
 
-    found = _spread(left.unionByName(right), blocks * blocks, "i", "j").groupBy("i", "j").applyInPandas(meet, "id string, neighbour string, score double")
+    found = _spread(left.unionByName(right), blocks * blocks, "i", "j").groupBy("i", "j").applyInPandas(meet, "id bigint, neighbour bigint, score double")
     ranked = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+    best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n).drop("rank")
+    # classes in place of ids from here: those that a class is near to, then their ids, then the ids of the class
+    listed = hides.where("not _h").withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("_r") <= n)
+    listed = listed.join(classes.select(*key, "no"), key).select(F.col("no").alias("neighbour"), F.col("id").alias("_n"))
+    best = best.join(listed, "neighbour").select("id", F.col("_n").alias("neighbour"), "score").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+    members = sets.join(classes.select(*key, F.col("no").alias("_rep")), key).select("_rep", "id")
+    return members.join(best.withColumnRenamed("id", "_rep"), "_rep").select("id", "neighbour", "score", "rank")
 
 
 class _Side:
-    """One block's ids and, of each kind, its token rows in order of id."""
+    """One block's ids, their sizes and weights of each kind, and their token rows in order of id; tokens as ``codes`` number them."""
 
-    def __init__(self, part: pd.DataFrame, kinds: int):
+    def __init__(self, part: pd.DataFrame, kinds: int, codes: np.ndarray | None = None):
         self.ids, code = np.unique(part["id"].to_numpy(), return_inverse=True)
-        self.rows, self.size, self.total = [], [], []
-        kind, token, idf = part["kind"].to_numpy(), part["token"].to_numpy(), part["idf"].to_numpy()
         first = np.zeros(len(self.ids), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        for k in range(kinds):
-            own = np.flatnonzero(kind == k)
-            own = own[np.argsort(code[own], kind="stable")]
-            self.rows.append((code[own], token[own], idf[own]))
-            self.size.append(part[f"size_{k}"].to_numpy()[first])
-            self.total.append(part[f"total_{k}"].to_numpy()[first])
+        self.size = [part[f"size_{k}"].to_numpy()[first] for k in range(kinds)]
+        self.total = [part[f"total_{k}"].to_numpy()[first] for k in range(kinds)]
+        named, kind = part["token"].to_numpy(), part["kind"].to_numpy()
+        self.codes, at = np.unique(named, return_index=True) if codes is None else (codes, None)
+        self.kind = None if at is None else kind[at]
+        token = np.minimum(np.searchsorted(self.codes, named), len(self.codes) - 1)
+        order = np.flatnonzero(self.codes[token] == named) if len(self.codes) else np.zeros(0, np.int64)
+        order = order[np.argsort(code[order], kind="stable")]
+        self.id, self.token, self.idf = code[order], token[order], part["idf"].to_numpy()[order]
+        self.empty = sum((self.size[k] == 0).astype(np.int64) << k for k in range(kinds))
+
+
+def _ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first, lengths)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
 def _meet(group: pd.DataFrame, kinds: int, n: int) -> pd.DataFrame:
-    """The ``n`` nearest of one block for each id of the other."""
-    a, b = _Side(group[group["asks"]], kinds), _Side(group[~group["asks"]], kinds)
-    none = pd.DataFrame({"id": [], "neighbour": [], "score": []}).astype({"id": object, "neighbour": object, "score": float})
-    if not len(a.ids) or not len(b.ids):
+    """The ``n`` nearest of one block for each id of the other.
+
+    A pair's nearness is the sum over kinds of w c / (sqrt(W) sqrt(V) (c + 100)) with the number c and weight w of the
+    common tokens and the weights W, V of all tokens of each, or 1 for equal sets. First all pairs are scored that share
+    a token of a short posting list; the ``n``-th of them is a floor for the rest. A pair of the rest shares tokens of
+    long lists only. It is looked for in the shortest list of a kind that it shares. Of a's tokens whose lists are no
+    shorter let C be the number and X the weight; then the kind gives at most P / sqrt(V), P = X C / (sqrt(W) (C + 100)),
+    and, as V is at least w, at most Q = sqrt(X / W) C / (C + 100). If a pair reaches the floor, some kind gives at least
+    its part of it, by Q for all of a's long lists; so V is bounded, and long lists, in order of V, are read up to there.
+    Their heads are read first, as they raise the floor. Sets that are equal have the same weight, so a's own is read in
+    any case. Pairs without any token of a kind gain 1 by that: lists are apart by the kinds that an id lacks.
+    """
+    none = pd.DataFrame({"id": [], "neighbour": [], "score": []}).astype({"id": "int64", "neighbour": "int64", "score": float})
+    b = _Side(group[~group["asks"]], kinds)
+    a = _Side(group[group["asks"]], kinds, b.codes)
+    if not len(a.id) or not len(b.id):
         return none
-    postings = []
-    for code, token, _ in b.rows:
-        order = np.argsort(token, kind="stable")
-        postings.append((code[order], token[order]))
-    step = max(1, min(len(a.ids), CELLS // len(b.ids)))
+    kind_of = b.kind
+    width, tokens = len(b.ids), len(b.codes)
+    lengths = np.bincount(b.token, minlength=tokens)
+    order = np.argsort(b.token, kind="stable")
+    posting, start = b.id[order], np.cumsum(lengths) - lengths
+    long = np.argsort(-lengths, kind="stable")[: max(1, LONG_CELLS // width)]
+    long = long[lengths[long] > LONG_LIST]
+    row = np.full(tokens, -1)
+    row[long] = np.arange(len(long))
+    is_long = row >= 0
+    held = np.zeros((len(long), width), bool)
+    some = is_long[b.token]
+    held[row[b.token[some]], b.id[some]] = True
+    # long lists by what their ids lack and then by weight
+    masks = np.unique(b.empty)
+    weight = np.stack(b.total)[kind_of[b.token[some]], b.id[some]]
+    place = row[b.token[some]] * len(masks) + np.searchsorted(masks, b.empty[b.id[some]])
+    sort = np.lexsort((weight, place))
+    far_ids, far_weight = b.id[some][sort], weight[sort]
+    far_size = np.bincount(place, minlength=len(long) * len(masks))
+    far_start = np.cumsum(far_size) - far_size
     out = []
-    for low in range(0, len(a.ids), step):
-        high = min(low + step, len(a.ids))
-        cells, weights = [], []
-        for (code, token, idf), (listed, keys) in zip(a.rows, postings):
-            r = slice(*np.searchsorted(code, [low, high]))
-            first, last = np.searchsorted(keys, token[r]), np.searchsorted(keys, token[r], side="right")
-            lengths = last - first
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first, lengths)
-            cells.append(np.repeat(code[r] - low, lengths) * len(b.ids) + listed[at])
-            weights.append(np.repeat(idf[r], lengths))
-        met, place = np.unique(np.concatenate(cells), return_inverse=True) if sum(map(len, cells)) * 8 < (high - low) * len(b.ids) else (None, np.concatenate(cells))
-        total = len(met) if met is not None else (high - low) * len(b.ids)
-        every = met if met is not None else np.arange(total)
-        x, y = every // len(b.ids) + low, every % len(b.ids)
-        near, far, start = np.zeros(total, bool), np.zeros(total), 0
+
+    def counts(x: np.ndarray, y: np.ndarray, common: np.ndarray, weight: np.ndarray) -> None:
+        """Add what pairs have in common in long lists."""
+        lists = a_long_size[x]
+        ends = np.cumsum(lists)
+        begin = 0
+        while begin < len(x):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CELLS, side="right")))
+            each = np.repeat(np.arange(begin, end), lists[begin:end])
+            at = a_long[_ranges(a_long_start[x[begin:end]], lists[begin:end])]
+            has = held[row[a.token[at]], y[each]]
+            each, at = each[has] - begin, at[has]
+            kind = kind_of[a.token[at]]
+            for k in range(kinds):
+                own = kind == k
+                common[k, begin:end] += np.bincount(each[own], minlength=end - begin)
+                weight[k, begin:end] += np.bincount(each[own], a.idf[at[own]], end - begin)
+            begin = end
+
+    def scored(x: np.ndarray, y: np.ndarray, common: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near, far = np.zeros(len(x), bool), np.zeros(len(x))
         for k in range(kinds):
-            own = place[start : start + len(cells[k])]
-            start += len(cells[k])
-            common, weight = np.bincount(own, minlength=total), np.bincount(own, weights[k], total)
-            scale = np.sqrt(a.total[k][x]) * np.sqrt(b.total[k][y]) * (common + SHRINK)
-            apart = np.where(common > 0, 1 - weight * common / np.where(scale > 0, scale, 1), 1.0)
-            sizes = a.size[k][x], b.size[k][y]
-            far += np.where((common == sizes[0]) & (common == sizes[1]), 0.0, apart)
-            near |= common > 0
+            c = common[k]
+            scale = np.sqrt(a.total[k][x]) * np.sqrt(b.total[k][y]) * (c + SHRINK)
+            apart = np.where(c > 0, 1 - weight[k] * c / np.where(scale > 0, scale, 1), 1.0)
+            far += np.where((c == a.size[k][x]) & (c == b.size[k][y]), 0.0, apart)
+            near |= c > 0
         far /= kinds
-        near &= (far > 0) & (a.ids[x] != b.ids[y])
-        score = np.round(1 / (1 + far), 6)
-        if met is None and len(b.ids) > 4 * n:  # only what may be among the n best is sorted
-            best = np.where(near, score, -1.0).reshape(high - low, -1)
-            near &= score >= np.repeat(-np.partition(-best, n - 1, axis=1)[:, n - 1], len(b.ids))
-        x, y, score = x[near], y[near], score[near]
+        near &= far > 0
+        return x[near], y[near], np.round(1 / (1 + far[near]), 6)
+
+    def best(x: np.ndarray, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((y, -score, x))
         x, y, score = x[order], y[order], score[order]
+        if len(x):  # a pair that two lists gave
+            new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            x, y, score = x[new], y[new], score[new]
         kept = np.arange(len(x)) - np.searchsorted(x, x) < n
-        out.append(pd.DataFrame({"id": a.ids[x[kept]], "neighbour": b.ids[y[kept]], "score": score[kept]}))
+        return x[kept], y[kept], score[kept]
+
+    a_is_long = is_long[a.token]
+    a_long = np.flatnonzero(a_is_long)
+    a_long_size = np.bincount(a.id[a_long], minlength=len(a.ids))
+    a_long_start = np.cumsum(a_long_size) - a_long_size
+    # an id's rows of long lists by kind, the longest first; up to each row the number and weight of its kind's, P and Q
+    a_long = a_long[np.lexsort((a.token[a_long], -lengths[a.token[a_long]], kind_of[a.token[a_long]], a.id[a_long]))]
+    a_kind, a_of = kind_of[a.token[a_long]], a.id[a_long]
+    begins = np.flatnonzero(np.r_[True, (a_of[1:] != a_of[:-1]) | (a_kind[1:] != a_kind[:-1])]) if len(a_long) else np.zeros(0, np.int64)
+    runs = np.diff(np.r_[begins, len(a_long)])
+    c = np.arange(len(a_long)) - np.repeat(begins, runs) + 1
+    sums = np.r_[0, np.cumsum(a.idf[a_long])]
+    x = sums[1:] - np.repeat(sums[begins], runs)
+    w = np.maximum(np.stack(a.total)[a_kind, a_of], 1e-300)
+    row_p, row_q = x * c / (np.sqrt(w) * (c + SHRINK)), np.sqrt(np.clip(x / w, 0, 1)) * c / (c + SHRINK)
+    row_q += 1e-12
+    ends_of = begins + runs - 1
+    most_q = np.zeros((kinds, len(a.ids)))
+    most_q[a_kind[ends_of], a_of[ends_of]] = row_q[ends_of]
+    alone = np.zeros(len(a_long), bool)  # the last row of a set that is in long lists altogether
+    alone[ends_of] = (c[ends_of] == np.stack(a.size)[a_kind[ends_of], a_of[ends_of]]) & (kinds > 1)
+    row_w = w * (1 + 1e-9)
+    work = np.cumsum(np.bincount(a.id, np.where(a_is_long, 0, lengths[a.token]), len(a.ids)))
+    low = 0
+    while low < len(a.ids):
+        high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + CELLS, side="right")))
+        r = np.arange(*np.searchsorted(a.id, [low, high]))
+        r = r[~a_is_long[r]]
+        size = lengths[a.token[r]]
+        cells = np.repeat(a.id[r] * width, size) + posting[_ranges(start[a.token[r]], size)]
+        idf, kind = np.repeat(a.idf[r], size), np.repeat(kind_of[a.token[r]], size)
+        met, at = np.unique(cells, return_inverse=True)
+        common = np.stack([np.bincount(at[kind == k], minlength=len(met)) for k in range(kinds)])
+        weight = np.stack([np.bincount(at[kind == k], idf[kind == k], len(met)) for k in range(kinds)])
+        x, y = met // width, met % width
+        counts(x, y, common, weight)
+        x, y, score = best(*scored(x, y, common, weight))
+        mine = slice(*np.searchsorted(a_of, [low, high]))
+        for head in (True, False):
+            # at least this nearness, so that the rounded score is no less than the n-th
+            full = np.flatnonzero(np.bincount(x - low, minlength=high - low) >= n)
+            floor, least = np.full(high - low, -np.inf), np.zeros(high - low)
+            least[full] = score[np.searchsorted(x, full + low) + n - 1]
+            floor[full] = kinds * (1 - (1 / (least[full] - 5.1e-7) - 1)) - 1e-9
+            of, kind = a_of[mine], a_kind[mine]
+            whole, part = most_q[:, of].sum(axis=0), most_q[kind, of]
+            r, spot, begin, size = [], [], [], []
+            for m, mask in enumerate(masks):
+                lacks = np.bitwise_count(a.empty[of] & mask)
+                need = (floor[of - low] - lacks) * part / whole
+                upto = np.where(need <= 1e-9, np.inf, np.where(need > row_q[mine], 0, (row_p[mine] / np.maximum(need, 1e-9)) ** 2 * (1 + 1e-9)))
+                upto = np.where(alone[mine], np.maximum(upto, row_w[mine]), upto)
+                at = row[a.token[a_long[mine]]] * len(masks) + m
+                to = _upto(far_weight, far_start[at], far_size[at], upto)
+                since = np.zeros(len(to), np.int64) if head else np.minimum(to, HEAD)
+                r.append(of), spot.append(at), begin.append(since), size.append((np.minimum(to, HEAD) if head else to) - since)
+            r, spot, begin, size = map(np.concatenate, (r, spot, begin, size))
+            used = np.flatnonzero(size > 0)
+            used = used[np.argsort(r[used], kind="stable")]
+            r, begin, size = r[used], far_start[spot[used]] + begin[used], size[used]
+            ends, parts, k = np.cumsum(size), [(x, y, score)], 0
+            while k < len(r):
+                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CELLS, side="right")))
+                cells = _distinct(np.repeat(r[k:stop] * width, size[k:stop]) + far_ids[_ranges(begin[k:stop], size[k:stop])])
+                cells = cells[met[np.minimum(np.searchsorted(met, cells), len(met) - 1)] != cells] if len(met) else cells
+                u, v = cells // width, cells % width
+                common, weight = np.zeros((kinds, len(u)), np.int64), np.zeros((kinds, len(u)))
+                counts(u, v, common, weight)
+                u, v, marks = scored(u, v, common, weight)
+                enough = marks >= least[u - low]  # only these are sorted
+                parts.append(best(u[enough], v[enough], marks[enough]))
+                k = stop
+            x, y, score = best(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        out.append(pd.DataFrame({"id": a.ids[x], "neighbour": b.ids[y], "score": score}))
+        low = high
     return pd.concat(out) if out else none
 
 
+def _upto(values: np.ndarray, first: np.ndarray, size: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many values of each ascending range are at most its limit, by halving all ranges at once."""
+    low, high = np.zeros(len(first), np.int64), size.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        below = open_ & (values[np.where(open_, first + middle, 0)] <= limit)
+        low, high = np.where(below, middle + 1, low), np.where(open_ & ~below, middle, high)
+    return low
+
+
 def auto_pairs(tag_pairs: DataFrame, user_pairs: DataFrame, tagged: DataFrame, used: DataFrame) -> DataFrame:
     """``a, b, distance``: mean of both distances over pairs near by either (RC6).
 
