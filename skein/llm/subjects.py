@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from skein.lineage import Scratch
 
 GENERAL = "general"
-LABELLED = 20_000  # at most so many labelled documents place the anchors
-FIT_ROWS = 20_000  # and with so many others at most they are factored before all documents are
-FIT_TERMS = 5_000  # documents with more terms aren't among those, they are only decided
 LANGUAGES = 60  # the most frequent language labels have columns of their own, all others share one set
 VOCABULARY = 400_000  # at most so many terms have columns, those of the most documents
 SHARED = 0.08  # share of a language's documents from which on a term counts mostly as shared by all of them
@@ -244,19 +241,20 @@ def _best(block: Block, share: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return np.where((strength >= 0.6) & (strength >= 0.5 * total), mass.argmax(axis=1) if len(mass) else 0, -1), strength
 
 
-def _seeded(subjects: list[str], v: Vocabulary, sample: list[Block]) -> np.ndarray:
-    """Anchors from labelled documents: columns in the measure in which a subject's documents have them more often than
-    others of the language do; in the last row, what many of a language's documents have."""
-    k, languages = len(subjects), len(v.documents)
-    counts, size = np.zeros((k, v.columns)), np.zeros((k, languages))
-    for b in sample:
-        pair = np.unique(b.doc * np.int64(v.columns) + b.term)
-        doc, term = pair // v.columns, pair % v.columns
-        for s in range(k):
-            own = np.zeros(b.docs, bool)
-            own[b.label_doc[b.label == s]] = True
-            counts[s] += np.bincount(term[own[doc]], minlength=v.columns)
-            size[s] += np.bincount(b.language[own], minlength=languages)
+def _labelled(block: Block, total: np.ndarray) -> None:
+    """Add the documents of each subject that have a column."""
+    pair = np.unique(block.doc * np.int64(max(1, len(total))) + block.term)
+    doc, term = pair // max(1, len(total)), pair % max(1, len(total))
+    for s in range(total.shape[1]):
+        own = np.zeros(block.docs, bool)
+        own[block.label_doc[block.label == s]] = True
+        total[:, s] += np.bincount(term[own[doc]], minlength=len(total))
+
+
+def _seeded(v: Vocabulary, counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Anchors from labelled documents, of which each subject has ``size`` by language and ``counts`` by column: columns
+    in the measure in which a subject's documents have them more often than others of the language do; in the last row,
+    what many of a language's documents have."""
     size = size[:, v.language]
     seen = counts.sum(axis=0)
     rate = counts / np.maximum(size, 1)
@@ -297,17 +295,6 @@ def _factors(subjects: list[str], v: Vocabulary, total: np.ndarray, trust: float
     return Factors(subjects, v, h + FLOOR * h.sum(axis=1, keepdims=True) + 1e-30, trust)
 
 
-def fit(subjects: list[str], v: Vocabulary, sample: list[Block]) -> Factors:
-    """Seeds from the labelled documents of ``sample`` and updates over all of it."""
-    factors = Factors(subjects, v, _seeded(subjects, v, sample))
-    for _ in range(ROUNDS):
-        total = np.zeros((v.columns, len(subjects) + 1))
-        for b in sample:
-            _update(factors, b, total)
-        factors = _factors(subjects, v, total, max(1.0, factors.trust / 2))
-    return factors
-
-
 def marks(total: np.ndarray) -> np.ndarray:
     """Columns that mark mentions in passing: those whose sentences mostly disagree with all others of their document."""
     return (total[:, -2] >= 5) & (total[:, -1] < 0.5 * total[:, -2])
@@ -384,9 +371,8 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     ones count once. ``general``, if it is a subject, stands alone and where nothing else does. Without labels all
     documents are general. Empty tables give no rows.
 
-    Terms are counted over all documents. H is seeded by at most ``LABELLED`` labelled documents and updated over those
-    and at most ``FIT_ROWS`` others; its last update, and the marks of mentions in passing, are sums over all
-    documents. W decides, labels have no say in it. Terms of fewer than 3 documents, or beyond the ``VOCABULARY`` most
+    Terms are counted over all documents. H is seeded by all labelled documents; its updates, and the marks of mentions
+    in passing, are sums over all documents, a pass for each update. W decides, labels have no say in it. Terms of fewer than 3 documents, or beyond the ``VOCABULARY`` most
     frequent, say nothing: a document that has only such is general. Languages beyond the ``LANGUAGES`` most frequent
     labels share one set of columns.
     """
@@ -411,26 +397,42 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
 
     labelled = terms.join(given, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
     encoded = scratch.cut(labelled.mapInArrow(encode, "doc_id bigint, labels array<int>, language int, titles int, columns array<int>, sentences array<int>"))
-    fitting = encoded.where(F.size("columns") <= FIT_TERMS).orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = [b for some, rows in ((F.size("labels") > 0, LABELLED), (F.size("labels") == 0, FIT_ROWS)) for b in fitting.where(some).limit(rows).toArrow().to_batches()]
-    factors = fit(names, v, [Block(p) for b in sample for p in _parts(b)])
+    columns = v.columns
+
+    def summed(rows: DataFrame, width: int, add) -> np.ndarray:
+        """``add`` adds a block to a table of a row for each column of X; these are summed over all rows."""
+        cols = [f"v{i}" for i in range(width)]
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((columns, width))
+            for batch in batches:
+                for part in _parts(batch):
+                    add(Block(part), total)
+            at = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(width))], ["term", *cols])
+
+        found = rows.mapInArrow(sums, ", ".join(["term bigint", *(f"{c} double" for c in cols)])).groupBy("term").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
+        total = np.zeros((columns, width))
+        total[found["term"].to_numpy(int)] = found[cols].to_numpy()
+        return total
+
+    known = encoded.where(F.size("labels") > 0)
+    size = np.zeros((len(names), len(v.documents)))
+    for r in known.select("language", F.explode("labels").alias("s")).groupBy("language", "s").agg(F.count(F.lit(1)).alias("n")).collect():  # subjects and languages
+        size[r["s"], r["language"]] = r["n"]
+    factors = Factors(names, v, _seeded(v, summed(known, len(names), _labelled).T, size))
+    for _ in range(ROUNDS):
+        held = sc.broadcast(factors)
+        total = summed(encoded, len(names) + 1, lambda block, total, held=held: _update(held.value, block, total))
+        factors = _factors(names, v, total, max(1.0, factors.trust / 2))
+        held.destroy()
     first = sc.broadcast(factors)
-    width = len(names) + 3
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(first.value.h), width))
-        for batch in batches:
-            for part in _parts(batch):
-                block = Block(part)
-                _update(first.value, block, total)
-                _agreement(first.value, block, total)
-        at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(width))], ["term", *cols])
-
-    cols = [f"v{i}" for i in range(width)]
-    summed = encoded.mapInArrow(sums, ", ".join(["term bigint", *(f"{c} double" for c in cols)])).groupBy("term").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
-    total = np.zeros((v.columns, width))
-    total[summed["term"].to_numpy(int)] = summed[cols].to_numpy()
+    def both(block: Block, total: np.ndarray) -> None:
+        _update(first.value, block, total)
+        _agreement(first.value, block, total)
+
+    total = summed(encoded, len(names) + 3, both)
     last = sc.broadcast((_factors(names, v, total, factors.trust), marks(total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

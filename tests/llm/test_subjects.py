@@ -103,3 +103,18 @@ def test_titles_are_marked():
     assert out.column("doc_id").to_pylist() == [1, 2, 4] and out.column("titles").to_pylist() == [2, 1, 1]
     assert [sorted(set(x)) for x in out.column("sentences").to_pylist()] == [[0, 1, 2], [1, 2], [0, 1, 2]]
     assert list(map(len, out.column("terms").to_pylist())) == [5, 2, 5]
+
+
+def test_all_documents_count(spark, monkeypatch):
+    """Every round is a sum over all documents, and every labelled one seeds, whatever their number or length."""
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000))
+    docs = [(i, "", ("The soup was salty. " if i % 2 else "The drill is loud. ") + (long if i < 4 else "It came today."), "en") for i in range(60)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, title string, text string, lang string")
+    names = spark.createDataFrame([("food",), ("tools",)], "subject string")
+    labels = spark.createDataFrame([(i, "food" if i % 2 else "tools") for i in range(8)], "doc_id bigint, subject string")
+    seeded, before = [], subjects._seeded
+    monkeypatch.setattr(subjects, "_seeded", lambda v, counts, size: seeded.append((counts.max(), size.sum())) or before(v, counts, size))
+    assert not hasattr(subjects, "FIT_ROWS") and not hasattr(subjects, "LABELLED")
+    got = {(r["doc_id"], r["subject"]) for r in document_subjects(documents, names, labels).collect()}
+    assert seeded == [(4.0, 8.0)]
+    assert got >= {(i, "food" if i % 2 else "tools") for i in range(8, 60)}
