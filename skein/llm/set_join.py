@@ -200,6 +200,11 @@ def _sketch(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduce(low, axis=1).view(np.int64), np.bitwise_xor.reduce(high, axis=1).view(np.int64)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not broadcast: signatures, pieces and pairs are planned as small as the compressed table they come from."""
+    return df.hint("merge")
+
+
 def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, least: int = 4) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and the pairs of similar classes: ``(rep, terms, n)`` and ``(rep_a, rep_b)``, rep_a < rep_b.
 
@@ -207,7 +212,8 @@ def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, least: int = 4) ->
     are similar if the common terms are at least ``num / den`` of the distinct terms of both. ``rep`` is the least id
     of a class. No link is lost: signatures only choose candidates by the pigeonhole bound, parity sketches only drop
     candidates that differ in too many tokens, and each distinct candidate is verified on the terms themselves.
-    Signatures shared by very many sets are salted on both sides. An empty table gives no rows.
+    Signatures shared by very many sets are salted on both sides. Nothing that follows the rows is broadcast, whatever
+    the session's threshold. An empty table gives no rows.
     """
     spark = sets.sparkSession
     scratch = Scratch(spark, "sets")
@@ -251,11 +257,11 @@ def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, least: int = 4) ->
     fits = (a <= b) & ((a < b) | (F.col("s.cid") < F.col("l.cid")))
     apart = F.bit_count(F.col("s.low").bitwiseXOR(F.col("l.low"))) + F.bit_count(F.col("s.high").bitwiseXOR(F.col("l.high")))
     near = (a * den >= b * num) & (apart * (den + num) <= (a + b) * (den - num))
-    pairs = small.join(large, (F.col("s.signature") == F.col("l.signature")) & fits & near)
+    pairs = small.join(_merged(large), (F.col("s.signature") == F.col("l.signature")) & fits & near)
     pairs = pairs.select(F.col("s.cid").alias("cid_a"), F.col("l.cid").alias("cid_b")).distinct()
     side = lambda x: classes.select(F.col("cid").alias(f"cid_{x}"), F.col("rep").alias(f"r{x}"), F.col("terms").alias(f"terms_{x}"))
     exact = F.size(F.array_intersect("terms_a", "terms_b")) * (num + den) >= (F.size("terms_a") + F.size("terms_b")) * num
-    found = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").where(exact)
+    found = pairs.join(_merged(side("a")), "cid_a").join(_merged(side("b")), "cid_b").where(exact)
     return classes.select("rep", "terms", "n"), scratch.cut(found.select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b")))
 
 
@@ -276,19 +282,19 @@ def similar_items(items: DataFrame) -> DataFrame:
     """
     sets = item_terms(items)
     classes, pairs = similar_sets(sets)
-    members = sets.join(classes.select("terms", "rep", "n"), "terms").select("id", "rep", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
+    members = sets.join(_merged(classes.select("terms", "rep", "n")), "terms").select("id", "rep", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
     members = members.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
     pieces = classes.select("rep", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
     of = lambda x: members.select(F.col("rep").alias(f"rep_{x}"), "piece", F.col("id").alias(f"id_{x}"))
     for x in "ab":
         kept = [c for c in pairs.columns if c != f"rep_{x}"]
-        split = pairs.join(pieces.withColumnRenamed("rep", f"rep_{x}"), f"rep_{x}").select(f"rep_{x}", *kept, every)
-        pairs = split.join(of(x), [f"rep_{x}", "piece"]).drop("piece")
+        split = pairs.join(_merged(pieces.withColumnRenamed("rep", f"rep_{x}")), f"rep_{x}").select(f"rep_{x}", *kept, every)
+        pairs = split.join(_merged(of(x)), [f"rep_{x}", "piece"]).drop("piece")
     across = pairs.select(F.least("id_a", "id_b").alias("item_a"), F.greatest("id_a", "id_b").alias("item_b"))
-    copied = members.join(classes.where("n > 1").select("rep"), "rep")
+    copied = members.join(_merged(classes.where("n > 1").select("rep")), "rep")
     one, two = copied.select("rep", "piece", F.col("id").alias("item_a")), copied.select("rep", every, F.col("id").alias("item_b"))
-    return across.unionByName(one.join(two, ["rep", "piece"]).where("item_a < item_b").select("item_a", "item_b"))
+    return across.unionByName(one.join(_merged(two), ["rep", "piece"]).where("item_a < item_b").select("item_a", "item_b"))
 
 
 def item_classes(items: DataFrame) -> DataFrame:
@@ -297,6 +303,6 @@ def item_classes(items: DataFrame) -> DataFrame:
     classes, pairs = similar_sets(sets)
     sizes = classes.select("rep", "n")
     ends = pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(pairs.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
-    linked = ends.join(sizes.select(F.col("rep").alias("other"), F.col("n").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("m"))
-    told = classes.join(linked, "rep", "left").select("terms", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
-    return sets.join(told, "terms").select(F.col("id").alias("item_id"), "class_id", "class_size", "links")
+    linked = ends.join(_merged(sizes.select(F.col("rep").alias("other"), F.col("n").alias("m"))), "other").groupBy("rep").agg(F.sum("m").alias("m"))
+    told = classes.join(_merged(linked), "rep", "left").select("terms", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return sets.join(_merged(told), "terms").select(F.col("id").alias("item_id"), "class_id", "class_size", "links")

@@ -96,6 +96,19 @@ def test_pieces(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(data)
 
 
+def test_nothing_that_follows_the_rows_is_broadcast(spark, monkeypatch):
+    """Under the default threshold, where a table of some MB of classes had all its signatures broadcast from the driver."""
+    plans = []
+    cut = set_join.Scratch.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(set_join.Scratch, "cut", lambda self, df: plan(df) or cut(self, df))
+    assert int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) >= 10 << 20
+    data = [(f"a{k}", list("pqrs"), None) for k in range(5)] + [(f"b{k}", list("pqrst"), None) for k in range(3)]
+    plan(similar_items(frame(spark, data)))
+    plan(item_classes(frame(spark, data)))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 12 and not any("Broadcast" in p for p in plans)
+
+
 def test_signatures_grow_with_the_size():
     rng = np.random.default_rng(0)
     s = Segments(3, 5, 4, 10_000, {}, set())
