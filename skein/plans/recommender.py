@@ -513,9 +513,10 @@ def md1_bpr_candidates(s: S, d: D) -> DataFrame:
     return _top_factors(s, d, bpr(liked(s, d).select("user_id", "item_id")))
 
 
-def click_features(s: S, d: D) -> tuple[DataFrame, int]:
-    """``user_id, item_id, target, pairs`` of all samples with all labels of users and items, numbers scaled, and how many positions the pairs are hashed into: at least twice the distinct features."""
+def click_features(s: S, d: D) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """``user_id, item_id, target, pairs`` of all samples with all labels of users and items, numbers scaled; ``id, pairs`` of their users and items; and how many positions the pairs are hashed into: at least twice the distinct features."""
     from skein.functions import labels as L
+    from skein.lineage import Scratch
     from skein.models import machine
 
     def scaled(labels: DataFrame) -> DataFrame:
@@ -530,7 +531,9 @@ def click_features(s: S, d: D) -> tuple[DataFrame, int]:
     names = [df.select("name").distinct().count() for df in (user_labels, item_labels)]
     count = users(s, d).count() + items(s, d).count() + sum(names)
     dims = max(machine.DIMS, 1 << (2 * count - 1).bit_length())
-    return machine.hashed_features(I.samples(classified(s, d)), user_labels, item_labels, dims), dims
+    samples = Scratch(s, "samples").cut(I.samples(classified(s, d)))
+    side = lambda kind, labels: machine.side_features(samples.select(F.col(f"{kind}_id").alias("id")).distinct(), labels, kind, dims)
+    return machine.hashed_features(samples, user_labels, item_labels, dims), side("user", user_labels), side("item", item_labels), dims
 
 
 @query()
@@ -538,9 +541,9 @@ def md8_click_scores(s: S, d: D) -> DataFrame:
     """Also MD9, RC18, WN11 and PR13: a machine trained on four fifths of the samples scores the rest."""
     from skein.models import machine
 
-    pairs, dims = click_features(s, d)
-    split = evaluate.random_split(machine.to_vectors(pairs, dims))
-    model = machine.train_fm(split.where("not is_test"))
+    pairs, known_users, known_items, dims = click_features(s, d)
+    split = evaluate.random_split(pairs)
+    model = machine.train_fm(split.where("not is_test"), known_users, known_items, dims)
     return machine.scores(model, split.where("is_test")).select("user_id", "item_id", "target", F.round("score", 6).alias("score"))
 
 

@@ -101,6 +101,37 @@ def test_click_scores_use_all_labels(spark, monkeypatch):
         assert any(seen), name
 
 
+def test_blocks_fit_what_pyspark_fits(spark, monkeypatch):
+    """The same weights and scores as FMClassifier from the same start, though no task and not the driver has all positions."""
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from skein.models import machine
+
+    dims = 128
+    monkeypatch.setattr(machine, "SPAN", 32)
+    rng = np.random.default_rng(4)
+    side = lambda kind, n, low: {f"{kind}{k}": sorted({int(p): float(x) for p, x in zip(rng.integers(low, low + 60, 4), rng.normal(1, 0.5, 4))}.items()) for k in range(n)}
+    users, items = side("u", 14, 0), side("i", 11, 60)
+    rows = [(u, i, 1 if rng.random() < 0.4 else -1) for u in users for i in items]
+    frames = [spark.createDataFrame([(k, [(p, x) for p, x in v]) for k, v in t.items()], "id string, pairs array<struct<i:int,w:double>>") for t in (users, items)]
+    vectors = spark.createDataFrame([(u, i, float(y > 0), Vectors.sparse(dims, dict(users[u] + items[i]))) for u, i, y in rows], ["user_id", "item_id", "label", "features"])
+    once = dict(factorSize=3, regParam=0.001, seed=5, solver="adamW")
+    # a rate near 0 and no decay leave the first factors as they were drawn
+    first = FMClassifier(maxIter=1, stepSize=1e-300, **once | {"regParam": 0.0}).fit(vectors).factors.toArray()
+    monkeypatch.setattr(machine, "initial", lambda seed, owner, n, factors: np.vstack([first[owner::4], np.zeros((1, factors))]))
+    theirs = FMClassifier(maxIter=12, stepSize=0.05, **once).fit(vectors)
+    ours = machine.train_fm(spark.createDataFrame(rows, "user_id string, item_id string, target int"), *frames, dims, 3, 12, 0.05, 0.001, 5)
+    held = {r["i"]: (r["w"], r["v"]) for r in ours.table.collect()}
+    assert np.isclose(held.pop(dims)[0], theirs.intercept) and held
+    for i, (w, v) in held.items():
+        assert np.isclose(w, theirs.linear[i]) and np.allclose(v, theirs.factors.toArray()[i])
+    want = {(r["user_id"], r["item_id"]): r["rawPrediction"][1] for r in theirs.transform(vectors).collect()}
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in machine.scores(ours, spark.createDataFrame([*rows, ("nobody", "none", 1)], "user_id string, item_id string, target int")).collect()}
+    assert np.isclose(got.pop(("nobody", "none")), theirs.intercept)
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
 def test_search_and_stopping():
     params, score = search({"x": (0.01, 10.0), "k": [1, 2]}, lambda p: -abs(p["x"] - 1) + p["k"], 40)
     assert params["k"] == 2 and score > 1.5
